@@ -1 +1 @@
-"""See the package docstring."""
+"""Small NumPy helpers that run inside Arrow batches. Nothing here knows Spark."""

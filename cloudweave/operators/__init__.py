@@ -1 +1 @@
-"""See the package docstring."""
+"""The operators, one module for each family."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Jobs made of the operators."""

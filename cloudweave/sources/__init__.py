@@ -1 +1 @@
-"""See the package docstring."""
+"""Where series come from and where results go."""
