@@ -29,7 +29,9 @@ from cloudweave.llm.sorting import repeated_windows
 
 LENGTH, GRAM = 200, 32
 #: Windows of one row at most, and classes of one key that are compared in one block.
-RUN, BLOCK = 4096, 2048
+RUN, BLOCK = 4096, 1 << 15
+#: Windows that are sorted at a time; a larger group's are dealt by their first bytes.
+SORTED = 1 << 19
 #: Bytes of a text from which runs are found at a time, and context bytes that one suffix array covers.
 PIECE, CONTEXT = 1 << 20, 1 << 19
 
@@ -168,10 +170,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offsets = common.text_bytes(table.column("bytes"))
         counts = n.to_numpy().astype(np.int64)
         group = np.cumsum(np.append(True, (np.diff(key.to_numpy()) != 0) | (np.diff(block.to_numpy()) != 0))) - 1
-        owner = np.repeat(np.arange(len(counts)), counts)
-        offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        offset = (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
         at = offsets[owner] + offset
-        again, first = repeated_windows(buf, at, group[owner], LENGTH)
+        again, first = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        passes = -(-len(at) // SORTED)
+        deal = (common.mix(common.unaligned_u64(buf)[at]) % np.uint64(passes)).astype(np.uint16) if passes > 1 else None
+        for k in range(passes):
+            own = slice(None) if deal is None else np.flatnonzero(deal == k)
+            again[own], first[own] = repeated_windows(buf, at[own], group[owner[own]], LENGTH)
         # Ranges of windows that repeat, within a run.
         hit = np.flatnonzero(again)
         new = np.append(True, (np.diff(hit) != 1) | (owner[hit[1:]] != owner[hit[:-1]])) if len(hit) else np.zeros(0, bool)
