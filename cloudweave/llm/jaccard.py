@@ -2,14 +2,15 @@
 
 Documents are sets of five-word shingles; two link when 100 * |A and B| >= 75 * |A or B|. The steps:
 
-1. a profile of each document: its set's 128-bit fingerprint, its size and, for the suffix filter, how many of
-   its shingles fall into each of SLICES ranges of hashes. Documents of equal sets are one class. The same pass
+1. a profile of each document: its set's 128-bit fingerprint, its size n and, for the suffix filter, how many of
+   its shingles fall into each of n/4 to n/2 ranges of hashes. Documents of equal sets are one class. The same pass
    counts shingles of all documents in BUCKETS cells, a table of fixed size, which puts shingles in an order:
    those of rare cells first. Any order gives whole results; a rare-first one gives short lists.
 2. the first n - ceil(3n/4) + 1 shingles of each set are its prefix: linked sets share one. Rows of a shingle
    that one set alone has are dropped.
 3. in each shingle's list, by size, a set is paired with the one before it and with the head of the list, where
-   the length and the positional filter allow. Pairs are verified once, and links give components.
+   the length and the positional filter allow. Of its pairs each set has the one that most lists gave verified;
+   links give components.
 4. now only pairs of different components matter. Lists with more than one component are joined whole, in
    blocks of LIST rows (a long list becomes many block pairs), under the same filters; each new pair is put to
    the suffix filter and verified. So no link between components is lost, and a group of thousands of near
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from cloudweave.llm import common
 from cloudweave.llm.graph import components
 
-#: Cells of the frequency table, ranges of the suffix filter, rows of a list that meet in one task.
-BUCKETS, SLICES, LIST = 1 << 20, 64, 1024
+#: Cells of the frequency table, rows of a list that meet in one task, bytes of a hash that sets are compared by.
+BUCKETS, LIST, KEPT = 1 << 20, 1024, 6
 
 
 _SEEDS = common.mix(np.arange(1, 3, dtype=np.uint64))
@@ -42,6 +43,23 @@ def set_rows(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
 
 
+def slices(s: np.ndarray) -> bytes:
+    """Counts, up to 255, of a set's hashes by equal ranges, a power of two of them: the finer, the larger the set."""
+    bits = min(max(len(s).bit_length() - 2, 3), 14)
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A number that two sets differ by at least: the sum of what their counts differ by."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    if len(x) > len(y):  # a count that met its limit stands for more, so such ranges are left out
+        full = (x == 255).reshape(len(y), -1).any(1) | (y == 255)
+        return int(np.abs(np.where(full, 0, x.reshape(len(y), -1).sum(1) - y)).sum())
+    return int(np.abs(x - y).sum())
+
+
 def _cells(h: np.ndarray) -> np.ndarray:
     return (common.mix(h) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
@@ -58,16 +76,13 @@ def profile(docs: DataFrame) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 np.add.at(counts, _cells(flat), 1)
-                row = np.repeat(np.arange(len(sets)), sizes)
                 sums = np.zeros((2, len(sets) + 1), np.uint64)
                 at = np.concatenate(([0], np.cumsum(sizes)))
                 for k in range(2):
                     ends = np.zeros(len(flat) + 1, np.uint64)
                     np.cumsum(common.mix(flat + _SEEDS[k]), out=ends[1:])
                     sums[k, :-1] = common.mix(ends[at[1:]] - ends[at[:-1]])
-                slot = row * SLICES + (flat >> np.uint64(64 - SLICES.bit_length() + 1)).astype(np.int64)
-                parts = np.minimum(np.bincount(slot, minlength=len(sets) * SLICES), 255).astype(np.uint8).reshape(-1, SLICES)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums[0, :-1].view(np.int64)), pa.array(sums[1, :-1].view(np.int64)), pa.array(sizes), pa.array([p.tobytes() for p in parts], pa.binary()), pa.nulls(len(sets), pa.binary())], schema=shape)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums[0, :-1].view(np.int64)), pa.array(sums[1, :-1].view(np.int64)), pa.array(sizes), pa.array([slices(x) for x in sets], pa.binary()), pa.nulls(len(sets), pa.binary())], schema=shape)
         if counts.any():
             blob = zstandard.ZstdCompressor(1).compress(counts.tobytes())
             yield pa.RecordBatch.from_arrays([pa.nulls(1, t.type) if t.name != "counts" else pa.array([blob], pa.binary()) for t in shape], schema=shape)
@@ -192,7 +207,10 @@ def shared_rows(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of each row with the one before it and with the head of its list, as far as the filters let them."""
+    """One pair for each document: of those with the row before it and with the head of a list, as far as the
+    filters let them, the one that most lists give. The others matter only if components stay apart, and then they
+    come again from cross_pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: tuple | None = None
@@ -210,12 +228,14 @@ def star_pairs(lists: DataFrame) -> DataFrame:
             for other in (at - 1, first[at]):
                 ok = _may_link(n[other], pos[other], n[at], pos[at]) & (doc[other] != doc[at])
                 pairs.append(np.stack([np.minimum(doc[other], doc[at])[ok], np.maximum(doc[other], doc[at])[ok]]))
-            found = np.unique(np.concatenate(pairs, 1), axis=1)
+            found, lists_ = np.unique(np.concatenate(pairs, 1), axis=1, return_counts=True)
             prev = tuple(x[-1] for x in (token, n, doc, pos))
             head = tuple(x[first[-1]] for x in (token, n, doc, pos))
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(lists_.astype(np.int64))], names=["a", "b", "c"])
 
-    return lists.repartition("token").sortWithinPartitions("token", "n", "doc_id").select("token", "n", "doc_id", "pos").mapInArrow(run, "a long, b long").distinct()
+    dealt = lists.repartition("token").sortWithinPartitions("token", "n", "doc_id").select("token", "n", "doc_id", "pos")
+    counted = dealt.mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    return counted.groupBy("b").agg(F.max(F.struct("c", -F.col("a"))).alias("best")).select((-F.col("best").getField("col2")).alias("a"), "b")
 
 
 def cross_pairs(lists: DataFrame, member: DataFrame) -> DataFrame:
@@ -266,24 +286,24 @@ def verify(pairs: DataFrame, docs: DataFrame, profiles: DataFrame) -> DataFrame:
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("sa", "sb"))
-            x, y = (np.frombuffer(b"".join(s or bytes(SLICES) for s in c), np.uint8).reshape(-1, SLICES).astype(np.int64) for c in (a, b))
-            n1, n2 = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            ok = (7 * np.abs(x - y).sum(1) <= n1 + n2) & (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2))
-            ok |= np.array([s is None or t is None for s, t in zip(a, b, strict=True)], bool)  # ids of several rows
-            yield batch.filter(pa.array(ok)).select(["a", "b"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)
+            # Without counts (ids of several rows) a pair goes on.
+            ok = [s is None or t is None or (4 * min(m, n) >= 3 * max(m, n) and 7 * least_difference(s, t) <= m + n) for m, n, s, t in rows]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in set_rows(part.column("text"))], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes() for s in set_rows(part.column("text"))], pa.binary())], names=["id", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                p, q = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = np.concatenate([p, q])
+                kept = np.concatenate([np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, KEPT) for s in (x, y)])
+                both = np.zeros((len(kept), 8), np.uint8)
+                both[:, :KEPT] = kept
+                both = both.view(np.uint64).ravel()
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 ok[k] = 100 * shared >= 75 * (len(both) - shared)
