@@ -52,6 +52,17 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias("text")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where df has such a column."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def slices(batch: pa.RecordBatch, max_bytes: int = CHUNK_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about max_bytes together (one row at least)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -172,23 +172,28 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by mask in text; other columns and all rows stay."""
-    found = findings(docs).where("is_secret").groupBy("row_key").agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found.withColumnRenamed("row_key", "_key"), "_key", "left")
+    """docs with every secret replaced by mask in text; other columns and all rows stay. A null text stays null.
+
+    A secret that a row's text repeats is masked wherever it stands. An empty table gives no rows.
+    """
+    key, spans_ = common.fresh(docs, "_key", "_spans")
+    found = findings(docs).where("is_secret").groupBy(F.col("row_key").alias(key)).agg(F.collect_list(F.struct("start", "length")).alias(spans_))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, texts = batch.column("_spans").to_pylist(), batch.column("text").to_pylist()
+            spans, texts = batch.column(spans_).to_pylist(), batch.column("text").to_pylist()
             out = []
             for text, cuts in zip(texts, spans, strict=True):
-                for s in sorted(cuts or (), key=lambda x: -x["start"]):
-                    text = text[: s["start"]] + mask + text[s["start"] + s["length"] :]
+                # Rows that are equal share their findings, so a span may come more than once.
+                for s in sorted({(x["start"], x["length"]) for x in cuts or ()}, reverse=True):
+                    text = text[: s[0]] + mask + text[s[0] + s[1] :]
                 out.append(text)
             columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = docs.columns
-    return joined.select(*names, "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*names, spans_).mapInArrow(run, docs.schema)
 
 

@@ -243,18 +243,20 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs and, in _spans, the ranges of windows of each text that repeat.
+def _with_spans(docs: DataFrame, own: list[str]) -> DataFrame:
+    """docs with further columns, named by own: the id, the whole text, and the ranges of windows that repeat.
 
     A row's key is its id, or a 64-bit hash of id and text where ids are missing or repeat.
     """
-    table = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", common.whole_text())
-    clash = table.groupBy("_id").agg(F.count("*").alias("c")).where("c > 1 or _id is null").limit(1).count()
-    table = table.withColumn("_key", F.xxhash64("_id", "_text") if clash else F.col("_id"))
-    texts = table.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text"))
+    id_, text, spans = own
+    (key,) = common.fresh(docs, "_key")
+    table = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(text, common.whole_text())
+    clash = table.groupBy(id_).agg(F.count("*").alias("c")).where(f"c > 1 or `{id_}` is null").limit(1).count()
+    table = table.withColumn(key, F.xxhash64(id_, text) if clash else F.col(id_))
+    texts = table.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = repeated_ranges(texts, texts)
-    spans = found.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    return table.join(spans, "_key", "left").select(*docs.columns, "_id", "_text", "_spans")
+    ranges = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "n")).alias(spans))
+    return table.join(ranges, key, "left").select(*docs.columns, *own)
 
 
 def covered(windows: list[dict]) -> list[tuple[int, int]]:
@@ -292,16 +294,17 @@ def dedup(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 3, pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text")).select("_id", "_text", "_spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text"), ["_id", "_text", "_spans"]).select("_id", "_text", "_spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """docs with what is left of each text; a character that a cut divides is dropped. A null text stays null."""
     names = docs.columns
+    own = common.fresh(docs, "_id", "_text", "_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [text if not got else without(text.encode(), covered(got)).decode("utf-8", "ignore") for text, got in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            kept = [text if not got else without(text.encode(), covered(got)).decode("utf-8", "ignore") for text, got in zip(batch.column("text").to_pylist(), batch.column(own[2]).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    return _with_spans(docs).select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return _with_spans(docs, own).select(*names, own[2]).mapInArrow(cut, docs.schema)

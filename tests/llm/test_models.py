@@ -1,0 +1,134 @@
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from cloudweave.llm import fingerprints, quality, secret_scan, topk
+
+
+def test_quality_of_held_out_documents(spark, sf_dir, documents):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    got = quality.classify(docs, labels)
+    rows = got.join(labels, "doc_id").where("held_out").select("score", "predicted", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    assert auc > 0.95
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.9
+    every = got.collect()
+    assert len(every) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in every)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in every)
+
+
+def test_quality_handles_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None), (7, 1), (9, 0), (11, 0)], "doc_id long, quality int")
+    got = quality.classify(odd, labels).collect()
+    assert len(got) == odd.count() and len({r.score for r in got if r.doc_id in (4, 5, 6)}) == 1
+    assert quality.classify(empty, labels).count() == 0
+    assert {r.score for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
+    kept = quality.good_documents(odd, labels)
+    assert kept.columns == odd.columns
+
+
+def test_fingerprints_are_homomorphic():
+    a, b, both, turned = fingerprints.vectors(["first paragraph of text", "second one here", "first paragraph of text\nsecond one here", "second one here\n\nfirst paragraph of text\n"])
+    assert (fingerprints.add(a, b) == both).all() and (both == turned).all()
+    assert (fingerprints.remove(both, b) == a).all() and not (a == b).all()
+    assert fingerprints.vectors([""]).sum() == 0
+    assert fingerprints.likeness(both[None], turned[None])[0] == 1.0
+
+
+def check_fingerprints(df):
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.select("doc_id", "text").collect()))
+    got = fingerprints.fingerprint(df).collect()
+    assert len(got) == len(rows)
+    import hashlib
+
+    want = []
+    for k, (known, d, t) in enumerate(rows):
+        new = fingerprints.edited(t, rows[(k + 1) % len(rows)][2])
+        n = len(t) // 4
+        assert new == t[: len(t) - n] + rows[(k + 1) % len(rows)][2][:n]
+        want.append((str(d if known else None), len(t), hashlib.sha256(new.encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    return got
+
+
+def test_fingerprints_of_whole_table(documents):
+    got = check_fingerprints(documents)
+    assert np.mean([r.near_edited > r.near_next for r in got]) > 0.95
+    assert np.mean([r.near_edited for r in got]) > 0.6 and np.mean([r.near_next for r in got]) < 0.1
+
+
+def test_fingerprints_of_odd_rows(spark, odd, empty):
+    got = check_fingerprints(odd)
+    prints = {}
+    for r in odd.select("doc_id", "text").collect():
+        for g in got:
+            if g.doc_id == r.doc_id and g.doc_id in (1, 2, 4, 5):
+                prints.setdefault(r.text or "", set()).add(g.fingerprint)
+    assert all(len(p) == 1 for p in prints.values())
+    assert fingerprints.fingerprint(empty).count() == 0
+    one = fingerprints.fingerprint(spark.createDataFrame([(5, "a single text of some words")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def brute_top(vectors, k=5, every=50):
+    out = {}
+    for q, v in vectors:
+        if q % every == 0:
+            scored = sorted((-int(np.dot(v, w)), i) for i, w in vectors if i != q)[:k]
+            out[q] = [(r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    return out
+
+
+def test_top_k_equals_brute_force(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = [(r.vec_id, np.floor(256.0 * np.array(r.embedding, np.float64)).astype(np.int64)) for r in table.collect()]
+    got = topk.top_k(table, F.col("vec_id") % 50 == 0, candidates=100, queries=4).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert found == brute_top(vectors)
+
+
+def test_top_k_handles_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [0.5]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [9.0, 9.0]), (8, []), (9, [-3.0, 1.0]), (9, [-3.0, 1.0])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, v string")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    unit = 256 * 256
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 5 * unit), (0, 2, 2, 5 * unit), (0, 3, 3, unit // 2), (0, 4, 8, 0), (0, 5, 9, -unit)]
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_large_values_stay_exact(spark):
+    rows = [(0, [2.0**20, 1.0])] + [(i, [2.0**20, float(i)]) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [19, 18, 17, 16, 15] and got[0].score == 2**28 * 2**28 + 256 * 19 * 256
+
+
+def test_secrets_are_found_and_masked(spark, empty):
+    import hashlib
+
+    secret = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'some plain words before token = "{secret(i)}" and after', "src") for i in range(60)]
+    rows += [(100 + i, f"a card 4{1000000000000007 + 7919 * i:015d} and build number 20240101123456{i:04d} of a plain text", "src") for i in range(60)]
+    rows += [(200, None, None), (201, "", "src"), (202, "nothing here at all", "src"), (0, rows[0][1], "src")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.scan(df).collect()
+    hit = {r.doc_id for r in got if r.is_secret}
+    assert hit == set(range(60)) and {r.doc_id for r in got} > {100, 110}
+    masked = secret_scan.redact(df)
+    assert masked.columns == df.columns and masked.count() == df.count()
+    texts = {r.doc_id: r.text for r in masked.collect()}
+    assert texts[5] == 'some plain words before token = "[SECRET]" and after' and texts[0] == texts[5]
+    assert texts[100] == rows[60][1] and texts[200] is None
+    assert secret_scan.scan(empty).count() == secret_scan.redact(empty).count() == 0
+
+
+def test_forest_from_given_labels(spark, odd):
+    labelled = spark.createDataFrame([(f"v{i}", float(i % 2), *[float(i % 2)] * len(secret_scan.FEATURES)) for i in range(40)], "value string, label double, " + ", ".join(f"{n} double" for n in secret_scan.FEATURES))
+    assert secret_scan.fit(labelled) is not None and secret_scan.fit(labelled.where("label = 1")) is None
+    assert secret_scan.scan(odd, labelled).count() >= 0
