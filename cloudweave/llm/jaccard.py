@@ -138,12 +138,14 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _may_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    """The length filter and the positional one: a shared shingle at these places can still mean 0.75."""
+    """The length filter and the positional one: can two sets link whose first shared shingle stands at p1 and p2?
+
+    Then they share it and at most what follows it in either. Linked sets meet in the list of their first shared
+    shingle too, so in lists of later ones nothing is lost.
+    """
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
     need = -(-3 * (n1.astype(np.int64) + n2) // 7)
-    most = np.minimum(n1 - p1, n2 - p2)  # this shingle and all after it
-    before = np.minimum(p1, p2)  # shared ones may also stand before
-    return (4 * small.astype(np.int64) >= 3 * large) & (most + before >= need)
+    return (4 * small.astype(np.int64) >= 3 * large) & (np.minimum(n1 - p1, n2 - p2) >= need)
 
 
 def _sorted_lists(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[np.ndarray]]:
