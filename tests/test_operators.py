@@ -39,8 +39,8 @@ def test_embedding_cap():
     for length in (6, 12, 40):
         t, m, s = embedding.cap_embedding(length, 8, 12, 4)
         assert (m - 1) * t + 1 <= length
-    assert embedding.cap_embedding(6, 8, 12, 4) == (1, 1, 1)
-    assert embedding.cap_embedding(2, 8, 12, 4)[1:] == (2, 4)
+    assert embedding.cap_embedding(6, 8, 12, 4) == (8, 1, 1)
+    assert embedding.cap_embedding(2, 8, 12, 4) == (1, 2, 4)
     with pytest.raises(ValueError):
         embedding.cap_embedding(0, 2, 2, 1)
 
@@ -80,7 +80,7 @@ def test_sampling_does_not_depend_on_partitions(spark, sines):
     out = []
     for n in (1, 17):
         p = pool.repartition(n)
-        out.append(sorted((r.label, r.exclude_series or -1, r.series_id, r.point_idx) for r in clouds.subclouds(p, sizes).collect()))
+        out.append(sorted((r.label, -1 if r.exclude_series is None else r.exclude_series, r.series_id, r.point_idx) for r in clouds.subclouds(p, sizes).collect()))
     assert out[0] == out[1]
     assert not any(e == s for _, e, s, _ in out[0])
     size = {r.label: r["size"] for r in sizes.collect()}
