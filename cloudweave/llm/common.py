@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="cloudweave-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one of its own only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cloudweave-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
+    """A new folder below spark.checkpoint.dir; below a local one only where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()
     return f"{base.rstrip('/')}/cloudweave-{uuid.uuid4().hex}"
 
 
