@@ -81,6 +81,17 @@ def s2_series_from_vectors(spark, sf_dir):
     return rows.withColumn("value", r6("value"))
 
 
+@query(f"WITH {SERIES} SELECT label, CAST(len(v) AS INTEGER) AS length, count(*) AS n, round(sum(list_sum(v)), 4) + 0.0 AS total FROM series GROUP BY 1, 2")
+def s1_series_from_text(spark, sf_dir):
+    """The vectors written as whitespace text, a series a line, and read back."""
+    path = f"{work_dir(spark)}/text"
+    line = F.concat_ws("  ", F.col("label").cast("double").cast("string"), F.array_join(F.transform("values", lambda x: x.cast("string")), " "))
+    vector_series(spark, sf_dir).select(line).write.text(path)
+    got = sources.read_text(spark, path)
+    total = F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x))
+    return got.groupBy("label", F.size("values").alias("length")).agg(F.count("*").alias("n"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
+
+
 @query(f"""WITH {SERIES} SELECT count(*) AS series, count(*) FILTER (v IS NULL OR len(v) = 0) AS empty,
 count(*) FILTER (len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0) AS not_finite, count(*) FILTER (label IS NULL) AS unlabelled,
 CAST(min(len(v)) AS BIGINT) AS shortest, CAST(max(len(v)) AS BIGINT) AS longest FROM series""")
@@ -108,6 +119,16 @@ def s8_missing_keys(spark, sf_dir):
     return new.groupBy("key").agg(F.min("series_id").alias("series_id")).select("series_id", "key")
 
 
+@query()
+def s8_barcode_store(spark, sf_dir):
+    """Bars of all pairs with the class's default cloud, when a third of them is in the store already."""
+    rows = small_clouds(spark, sf_dir).withColumn("key", sinks.content_key("points", "class_points"))
+    path = f"{work_dir(spark)}/store"
+    compute = lambda p: barcodes.cross_barcodes(p, ["key"])
+    sinks.with_store(rows.where("series_id % 3 = 0"), path, compute)
+    return sinks.with_store(rows, path, compute).select("key", F.size("bars").alias("n_bars"))
+
+
 # --- Transforms ---
 
 
@@ -597,6 +618,33 @@ def r4_ordered_summary(spark, sf_dir):
     return reports.in_order(summary, order, first.unionByName(second), ["origin"]).select("dataset", "rank", "origin")
 
 
+@query(f"WITH {ACC} SELECT dataset, dataset_type, method, CAST(seed AS INTEGER) AS seed, round(holdout_accuracy, 6) + 0.0 AS holdout_accuracy FROM acc")
+def s4_accuracy_sink(spark, sf_dir):
+    path = f"{work_dir(spark)}/accuracy"
+    sinks.write_table(accuracy_rows(spark, sf_dir), path, sinks.ACCURACY)
+    got = spark.read.parquet(path)
+    return got.select("dataset", "dataset_type", "method", "seed", r6("holdout_accuracy").alias("holdout_accuracy"))
+
+
+@query(f"WITH {ACC} SELECT dataset, CAST(seed AS INTEGER) AS seed, count(*) AS n, round(sum(holdout_accuracy), 6) + 0.0 AS total FROM acc GROUP BY 1, 2")
+def s5_split_sink(spark, sf_dir):
+    """Rows appended by (dataset, seed), one half of the seeds twice: a split is replaced, not doubled."""
+    path = f"{work_dir(spark)}/split"
+    rows = accuracy_rows(spark, sf_dir).withColumn("dataset", F.concat(F.lit("n_"), "dataset"))
+    sinks.append_split(rows, path)
+    sinks.append_split(rows.where("seed % 2 = 0"), path)
+    got = spark.read.parquet(path).withColumn("dataset", F.expr("substring(dataset, 3)"))
+    return got.groupBy("dataset", "seed").agg(F.count("*").alias("n"), r6(F.sum("holdout_accuracy")).alias("total"))
+
+
+@query(f"WITH {PROBA} SELECT module, class_label, count(*) AS n, round(sum(p), 5) + 0.0 AS total FROM proba GROUP BY 1, 2")
+def s6_probability_sink(spark, sf_dir):
+    path = f"{work_dir(spark)}/proba"
+    sinks.append_split(proba(spark, sf_dir).withColumn("dataset", F.lit("vectors")).withColumn("seed", F.lit(0)), path)
+    got = spark.read.parquet(path)
+    return got.groupBy("module", "class_label").agg(F.count("*").alias("n"), (F.round(F.sum("p"), 5) + F.lit(0.0)).alias("total"))
+
+
 # --- Independence ---
 
 
