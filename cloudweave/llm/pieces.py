@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's distinct units (a run of spaces and what follows up to the next, cut at characters that no longer
-piece holds) are put end to end and indexed by a suffix array. Every piece of the vocabulary is looked up
+A batch's distinct units (a run of spaces and the letters after it, or the marks, digits and so on: cut wherever
+no piece holds the two neighbouring characters) are put end to end and indexed by a suffix array. Every piece of the vocabulary is looked up
 there by binary search; its range of the array is its occurrences, the edges of the units' lattices. Sorted
 by position they are relaxed. The vocabulary file is of the BPE kind, whose segmentation is by the order of
 merges and not by the sum of scores; so an edge is relaxed when it joins two neighbouring segments and no
@@ -11,6 +11,7 @@ edge of a better rank can (a Viterbi pass over the same edges would give other i
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ from cloudweave.llm import common
 
 SPACE = "▁"
 #: Distinct units that a worker remembers; characters that one suffix array covers.
-UNITS, INDEX_CHARS = 400_000, 1 << 19
+UNITS, INDEX_CHARS = 250_000, 1 << 18
 #: An edge's key is its start times SLOT (more than the longest piece) and its length; units above LONG use a heap.
 SLOT, NONE, LONG = 1 << 10, 1 << 60, 96
 
@@ -48,9 +49,11 @@ class Pieces:
         self.special = {i for i, s in enumerate(special) if s and i not in self.of_byte}
         self.unknown = model.unk_id()
         usable = [i for i, s in enumerate(special) if not s]
-        self.single = {self.texts[i]: i for i in usable if len(self.texts[i]) == 1}
         self.longer = sorted((i for i in usable if len(self.texts[i]) > 1), key=lambda i: self.texts[i])
         self.inner = {c for i in self.longer for c in self.texts[i]}
+        self.pattern = self._units_pattern()
+        self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else b"" if i in self.special else t.encode() for i, t in enumerate(self.texts)]
+        self.raw[self.unknown] = " ⁇ ".encode()
         self.width = max((len(self.texts[i]) for i in self.longer), default=1)
         #: Characters by number, from 2 on in order: 0 ends a piece, 1 is any character of no longer piece.
         self.code = {c: n for n, c in enumerate(sorted(self.inner), 2)}
@@ -62,12 +65,33 @@ class Pieces:
         self.sizes = np.array([len(self.texts[i]) for i in self.longer], np.int64)
         scores = np.array([model.get_score(i) for i in self.longer])
         self.rank = np.unique(-scores, return_inverse=True)[1]  # equal scores share a rank
-        self.ids = {self.texts[i]: i for i in self.longer}
+        self.bytes_of = {self.texts[i]: np.array([i], "<i4").tobytes() for i in usable}
         self.known: dict[str, bytes] = {}
 
-    def edges(self, units: list[str]) -> list[dict[int, int]]:
-        """For each unit its edges: start * SLOT + length -> rank of the piece."""
-        text = "\0".join(units) + "\0"
+    def _units_pattern(self) -> re.Pattern:
+        """Marks of spaces with a run of characters that pieces join, directly or through others; else one character.
+
+        No piece has a mark inside, so marks only begin units; a merge never crosses the end of one.
+        """
+        group = {c: c for c in self.inner}
+
+        def find(c: str) -> str:
+            while group[c] != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        for i in self.longer:
+            for a, b in zip(self.texts[i], self.texts[i][1:], strict=False):
+                if SPACE not in (a, b):
+                    group[find(a)] = find(b)
+        runs: dict[str, list[str]] = {}
+        for c in self.inner - {SPACE}:
+            runs.setdefault(find(c), []).append(c)
+        classes = ["[" + "".join(map(re.escape, sorted(r))) + "]+" for r in sorted(runs.values(), key=len, reverse=True)]
+        return re.compile("|".join(f"{SPACE}*{c}" for c in classes) + f"|{SPACE}+|.", re.S)
+
+    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (start * SLOT + length, ascending) and ranks of all occurrences of pieces in text."""
         table = np.ones(0x110000 if max(text) > "\uffff" else 0x10000, ">u2")
         table[[ord(c) for c in self.code]] = list(self.code.values())
         codes = np.ones(len(text) + self.width, ">u2")
@@ -80,40 +104,58 @@ class Pieces:
         hit = np.flatnonzero(high > low)
         count = (high - low)[hit]
         at = order[np.repeat(low[hit] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))]
-        size, rank = np.repeat(self.sizes[hit], count), np.repeat(self.rank[hit], count)
-        by = np.argsort(at)
-        at, size, rank = at[by], size[by], rank[by]
-        starts = np.concatenate(([0], np.cumsum([len(u) + 1 for u in units])))
-        bounds = np.searchsorted(at, starts)
-        keys = ((at - np.repeat(starts[:-1], np.diff(bounds))) * SLOT + size).tolist()
-        rank, bounds = rank.tolist(), bounds.tolist()
-        return [dict(zip(keys[i:j], rank[i:j], strict=True)) for i, j in zip(bounds, bounds[1:], strict=False)]
-
-    def relax(self, unit: str, edges: dict[int, int]) -> list[int]:
-        """The ids of a unit: edges that join two neighbouring segments, best rank first, leftmost on ties."""
-        n = len(unit)
-        if n > LONG:
-            cut = self.relax_long(n, edges)
-        else:
-            cut = list(range(n + 1))
-            best = [edges.get(a * SLOT + 2, NONE) for a in range(n - 1)]
-            while best and (least := min(best)) < NONE:
-                k = best.index(least)
-                del cut[k + 1], best[k]
-                if k < len(best):
-                    best[k] = edges.get(cut[k] * SLOT + cut[k + 2] - cut[k], NONE)
-                if k:
-                    best[k - 1] = edges.get(cut[k - 1] * SLOT + cut[k + 1] - cut[k - 1], NONE)
-        out: list[int] = []
-        for a, b in zip(cut, cut[1:], strict=False):
-            if b > a + 1:
-                out.append(self.ids[unit[a:b]])
-            else:
-                out += self.letter(unit[a])
-        return out
+        keys = at * SLOT + np.repeat(self.sizes[hit], count)
+        by = np.argsort(keys)
+        return keys[by], np.repeat(self.rank[hit], count)[by]
+
+    def relax(self, keys: np.ndarray, ranks: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments (unit, start, length) of all units, by unit and start.
+
+        A round relaxes one edge of every unit that has one left: that of the best rank, the leftmost on ties,
+        among the edges that join two neighbouring segments. Units without one are done and leave.
+        """
+
+        def rank(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+            want = start * SLOT + np.minimum(size, SLOT - 1)
+            i = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
+            return np.where(keys[i] == want, ranks[i], NONE) if len(keys) else np.full(len(want), NONE)
+
+        unit = np.repeat(np.arange(len(sizes)), sizes)
+        start = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+        size = np.ones(len(start), np.int64)
+        last = np.append(unit[1:] != unit[:-1], True) if len(unit) else np.zeros(0, bool)
+        join = np.where(last, NONE, rank(start, np.full(len(start), 2)))
+        done = []
+        while len(unit):
+            first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            least = np.minimum.reduceat(join, first)
+            length = np.diff(np.append(first, len(unit)))
+            over = np.repeat(least == NONE, length)
+            if over.any():
+                done.append((unit[over], start[over], size[over]))
+                live = ~over
+                unit, start, size, join = unit[live], start[live], size[live], join[live]
+                least, length = least[least < NONE], length[least < NONE]
+                if not len(unit):
+                    break
+            hit = np.flatnonzero(join == np.repeat(least, length))
+            i = hit[np.append(True, unit[hit[1:]] != unit[hit[:-1]])]
+            size[i] += size[i + 1]
+            keep = np.ones(len(unit), bool)
+            keep[i + 1] = False
+            unit, start, size, join = unit[keep], start[keep], size[keep], join[keep]
+            i = i - np.arange(len(i))
+            for k in (i[np.append(unit[1:] == unit[:-1], False)[i]], i[np.append(False, unit[1:] == unit[:-1])[i]] - 1):
+                join[k] = rank(start[k], size[k] + size[k + 1])
+            join[i[~np.append(unit[1:] == unit[:-1], False)[i]]] = NONE
+        if not done:
+            return (np.zeros(0, np.int64),) * 3
+        unit, start, size = (np.concatenate(x) for x in zip(*done, strict=True))
+        by = np.lexsort((start, unit))
+        return unit[by], start[by], size[by]
 
     def relax_long(self, n: int, edges: dict[int, int]) -> list[int]:
-        """The same for a long unit, its edges in a heap: the cuts."""
+        """The same for one long unit, its edges in a heap: where its segments begin, and n."""
         ends, begin, alive = list(range(1, n + 1)), list(range(n)), [True] * n
         heap = [(r, key // SLOT, key // SLOT + 2) for key, r in edges.items() if key % SLOT == 2]
         heapq.heapify(heap)
@@ -128,33 +170,47 @@ class Pieces:
                     heapq.heappush(heap, (r, x, y))
         return [*(a for a in range(n) if alive[a]), n]
 
-    def letter(self, c: str) -> list[int]:
-        if c in self.single:
-            return [self.single[c]]
+    def letter(self, c: str) -> bytes:
+        """The ids of a character that is no piece: those of its bytes, or the unknown one."""
         got = [self.bytes.get(b) for b in c.encode()]
-        return [self.unknown] if None in got else got
+        self.bytes_of[c] = out = np.array([self.unknown] if None in got else got, "<i4").tobytes()
+        return out
 
     def learn(self, units: list[str]) -> None:
         if len(self.known) + len(units) > UNITS:
             self.known.clear()
         start, held = 0, 0
         for i in range(len(units) + 1):
-            if i == len(units) or held > INDEX_CHARS:
-                some = units[start:i]
-                for unit, edges in zip(some, self.edges(some) if some else [], strict=True):
-                    self.known[unit] = np.array(self.relax(unit, edges), "<i4").tobytes()
+            if start < i and (i == len(units) or held > INDEX_CHARS):
+                self._learn(units[start:i])
                 start, held = i, 0
             if i < len(units):
                 held += len(units[i])
 
+    def _learn(self, units: list[str]) -> None:
+        text = "\0".join(units) + "\0"
+        keys, ranks = self.edges(text)
+        sizes = np.array([len(u) for u in units], np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        short = sizes <= LONG
+        of, at, size = self.relax(keys, ranks, starts[short], sizes[short])
+        names = [text[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+        self._keep([u for u, s in zip(units, short.tolist(), strict=True) if s], of, names)
+        for k in np.flatnonzero(~short).tolist():
+            i, j = np.searchsorted(keys, [starts[k] * SLOT, (starts[k] + sizes[k]) * SLOT])
+            cut = self.relax_long(int(sizes[k]), dict(zip((keys[i:j] - starts[k] * SLOT).tolist(), ranks[i:j].tolist(), strict=True)))
+            self._keep([units[k]], np.zeros(len(cut) - 1, np.int64), [units[k][a:b] for a, b in zip(cut, cut[1:], strict=False)])
+
+    def _keep(self, units: list[str], of: np.ndarray, names: list[str]) -> None:
+        """Remember the ids of units; names are their segments in order, of the unit that each is in."""
+        parts = [self.bytes_of[n] if n in self.bytes_of else self.letter(n) for n in names]
+        bounds = np.searchsorted(of, np.arange(len(units) + 1)).tolist()
+        for u, i, j in zip(units, bounds, bounds[1:], strict=False):
+            self.known[u] = b"".join(parts[i:j])
+
     def units(self, text: str) -> list[str]:
         """text with its spaces marked, cut where no piece crosses."""
-        if not text:
-            return []
-        out = []
-        for line in _split((SPACE + text.replace(" ", SPACE)), self.inner):
-            out += line
-        return out
+        return self.pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
@@ -169,53 +225,10 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text: pieces put together, marks as spaces again, the first space dropped, bytes as UTF-8."""
-        out, held = [], bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                held.append(self.of_byte[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(" ⁇ " if i == self.unknown else "" if i in self.special else self.texts[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out)
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text.removeprefix(SPACE).replace(SPACE, " ")
 
 
-def _split(text: str, inner: set[str]) -> Iterator[list[str]]:
-    """Units of a marked text: cut before each run of marks, and around characters outside the longer pieces."""
-    for line in text.splitlines(keepends=True) if "\n" in text else (text,):
-        body = line.rstrip("\n")
-        units: list[str] = []
-        run = 0
-        parts = body.split(SPACE)
-        for k, part in enumerate(parts):
-            if k:
-                run += 1
-            if part:
-                units += _cut(SPACE * run + part, inner) if not inner.issuperset(part) else [SPACE * run + part]
-                run = 0
-        if run:
-            units.append(SPACE * run)
-        units += ["\n"] * (len(line) - len(body))
-        yield units
-
-
-def _cut(unit: str, inner: set[str]) -> list[str]:
-    out, at = [], 0
-    for i, c in enumerate(unit):
-        if c not in inner:
-            if at < i:
-                out.append(unit[at:i])
-            out.append(c)
-            at = i + 1
-    if at < len(unit):
-        out.append(unit[at:])
-    return out
-
-
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -228,7 +241,7 @@ def encode(docs: DataFrame, path: str = "") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            for part in common.slices(batch, 1 << 22):
+            for part in common.slices(batch, 1 << 21):
                 rows = model.encode(part.column("text").to_pylist())
                 sizes = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(rows), "<i4")))
