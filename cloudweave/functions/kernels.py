@@ -6,7 +6,8 @@ import numpy as np
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1), 0.0))
+    apart = a[:, None, :] - b[None, :, :]
+    return np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
 
 
 def farthest_points(points: np.ndarray, size: int, first: int) -> np.ndarray:
@@ -43,9 +44,9 @@ class _Sets:
         self.up = list(range(n))
 
     def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
         return i
 
     def join(self, i: int, j: int) -> bool:
@@ -69,12 +70,13 @@ def cross_h0(tree: np.ndarray, kept: np.ndarray, collapsed: np.ndarray) -> np.nd
         return np.zeros(0)
     star = distances(kept, collapsed).min(1)
     n = len(kept)
-    edges = np.concatenate([tree, np.column_stack([np.arange(n), np.full(n, n), star])])
-    sets, out = _Sets(n + 1), []
-    for i, j, d in edges[np.argsort(edges[:, 2], kind="stable")]:
-        if sets.join(int(i), int(j)) and d > 0:
-            out.append(d)
-    return np.array(out)
+    length = np.concatenate([tree[:, 2], star])
+    order = np.argsort(length, kind="stable")
+    left = np.concatenate([tree[:, 0].astype(int), np.arange(n)])[order].tolist()
+    right = np.concatenate([tree[:, 1].astype(int), np.full(n, n)])[order].tolist()
+    sets = _Sets(n + 1)
+    out = length[order][[sets.join(i, j) for i, j in zip(left, right, strict=True)]]
+    return out[out > 0]
 
 
 def cone_values(kept: np.ndarray, collapsed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,14 @@ LIMIT = 1e6
 REPS = ("mtd", "total_persistence", "pers_entropy", "landscape_l2", "betti_0", "betti_1", "betti_2")
 
 
-def _cloud(points) -> np.ndarray:
-    return np.array([np.asarray(p, float) for p in points]) if points is not None and len(points) else np.zeros((0, 1))
+def _clouds(column: pa.Array) -> list[np.ndarray]:
+    """Each row's points as a matrix, views of the batch's one buffer; a null row has no points."""
+    inner = column.flatten()
+    flat = inner.flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    rows = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.concatenate(([0], np.cumsum(pc.list_value_length(inner).to_numpy(zero_copy_only=False))))
+    return [flat[at[i] : at[j]].reshape(j - i, -1) if j > i else np.zeros((0, 1)) for i, j in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
 
 
 def cross_barcodes(pairs: DataFrame, keys: list[str], loops: bool = False, max_h1_points: int = 48) -> DataFrame:
@@ -30,30 +37,43 @@ def cross_barcodes(pairs: DataFrame, keys: list[str], loops: bool = False, max_h
     max_h1_points points, larger ones are first cut to their farthest points. Trees of clouds are kept within a
     batch, since a series meets all classes. A pair without points on a side has no bars.
     """
+    directions = pa.array(["qc", "cq"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trees: dict[bytes, np.ndarray] = {}
-            out = []
-            for q, c in zip(batch["points"], batch["class_points"], strict=True):
-                a, b = _cloud(q), _cloud(c)
-                bars = []
-                for direction, kept, other in (("qc", a, b), ("cq", b, a)):
+            counts, codes, dims, births, deaths = [], [], [], [], []
+            for a, b in zip(_clouds(batch.column("points")), _clouds(batch.column("class_points")), strict=True):
+                total = 0
+                for code, kept, other in ((0, a, b), (1, b, a)):
                     if not len(kept) or not len(other):
                         continue
                     key = kept.tobytes()
                     if key not in trees:
                         trees[key] = kernels.kept_tree(kept)
-                    bars += [(direction, 0, 0.0, float(d)) for d in kernels.cross_h0(trees[key], kept, other)]
+                    h0 = kernels.cross_h0(trees[key], kept, other)
+                    found = [(0, np.zeros(len(h0)), h0)]
                     if loops:
-                        few = kept[kernels.farthest_points(kept, max_h1_points, 0)]
-                        bars += [(direction, 1, float(x), float(y)) for x, y in kernels.cross_h1(few, other)]
-                out.append([{"direction": d, "hom_dim": h, "birth": x, "death": y} for d, h, x, y in bars])
-            yield batch[keys].assign(bars=out)
+                        h1 = kernels.cross_h1(kept[kernels.farthest_points(kept, max_h1_points, 0)], other)
+                        found.append((1, h1[:, 0], h1[:, 1]))
+                    for dim, birth, death in found:
+                        total += len(birth)
+                        codes.append(np.full(len(birth), code, np.int8))
+                        dims.append(np.full(len(birth), dim, np.int32))
+                        births.append(birth)
+                        deaths.append(death)
+                counts.append(total)
+            codes, dims, births, deaths = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((codes, np.int8), (dims, np.int32), (births, float), (deaths, float)))
+            names = pa.DictionaryArray.from_arrays(pa.array(codes), directions).cast(pa.string())
+            bars = pa.StructArray.from_arrays([names, pa.array(dims), pa.array(births), pa.array(deaths)], ["direction", "hom_dim", "birth", "death"])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.ListArray.from_arrays(offsets, bars)], names=[*keys, "bars"])
 
     types = {f.name: f.dataType.simpleString() for f in pairs.schema}
     shape = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", bars array<struct<direction:string,hom_dim:int,birth:double,death:double>>"
-    return pairs.select(*keys, "points", "class_points").mapInPandas(run, shape)
+    # Pairs are dealt evenly by a count, which adaptive execution keeps: their bytes say little about their work.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select(*keys, "points", "class_points").repartition(parts, *keys).mapInArrow(run, shape)
 
 
 def slots(barcodes: DataFrame, keys: list[str], hom_dims: tuple[int, ...]) -> DataFrame:
