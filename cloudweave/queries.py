@@ -238,14 +238,14 @@ def t7_one_point_per_series(spark, sf_dir):
     return clouds.one_per_series(vector_pool(spark, sf_dir), 30, 5).select("label", "series_id", "point_idx")
 
 
-@query(f"""WITH {POINTS}, d AS (SELECT a.label, a.series_id, a.point_idx, round(sum(sqrt(list_sum(list_transform(generate_series(1, 10), lambda i: (a.coords[i] - b.coords[i]) * (a.coords[i] - b.coords[i]))))), 9) AS apart FROM points a JOIN points b USING (label, series_id) GROUP BY 1, 2, 3)
-SELECT label, series_id, point_idx, round(apart, 6) + 0.0 AS apart FROM (SELECT *, row_number() OVER (PARTITION BY label, series_id ORDER BY apart DESC, point_idx) AS r FROM d) WHERE r = 1""")
+@query(f"""WITH {POINTS}, d AS (SELECT a.label, a.series_id, a.point_idx, sum(sqrt(list_sum(list_transform(generate_series(1, 10), lambda i: (a.coords[i] - b.coords[i]) * (a.coords[i] - b.coords[i]))))) AS apart FROM points a JOIN points b USING (label, series_id) GROUP BY 1, 2, 3)
+SELECT label, series_id, point_idx, round(apart, 5) + 0.0 AS apart FROM (SELECT *, row_number() OVER (PARTITION BY label, series_id ORDER BY round(apart, 9) DESC, point_idx) AS r FROM d) WHERE r = 1""")
 def t7_farthest_point_per_series(spark, sf_dir):
     pool = vector_pool(spark, sf_dir)
     got = clouds.one_per_series(pool, 1 << 30, 5, "maxmin")
     other = pool.select("label", "series_id", F.col("coords").alias("other"))
     apart = F.sqrt(F.aggregate(F.zip_with("coords", "other", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
-    return got.join(other, ["label", "series_id"]).groupBy("label", "series_id", "point_idx").agg(r6(F.sum(apart)).alias("apart"))
+    return got.join(other, ["label", "series_id"]).groupBy("label", "series_id", "point_idx").agg((F.round(F.sum(apart), 5) + F.lit(0.0)).alias("apart"))
 
 
 @query(f"""WITH {POINTS}, {SIZES}, c AS (SELECT label, count(*) AS points, count(DISTINCT series_id) AS series FROM points GROUP BY 1)
@@ -522,14 +522,14 @@ def g4_path_signature(spark, sf_dir):
 
 MODULES = ["a", "b", "c"]
 PROBA = SERIES + """, w AS (SELECT series_id, label, m, CAST(c AS INTEGER) AS class_label, abs(v[m * 10 + c + 1]) + 1e-9 AS w FROM series, generate_series(0, 2) x(m), generate_series(0, 9) y(c)),
-proba AS (SELECT series_id, label, chr(CAST(97 + m AS INTEGER)) AS module, class_label, round(w / sum(w) OVER (PARTITION BY series_id, m), 9) AS p FROM w),
+proba AS (SELECT series_id, label, chr(CAST(97 + m AS INTEGER)) AS module, class_label, w / sum(w) OVER (PARTITION BY series_id, m) AS p FROM w),
 single AS (SELECT module, avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM (SELECT series_id, label, module, class_label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY series_id, module ORDER BY p DESC, class_label) AS r FROM proba) WHERE r = 1) GROUP BY 1),
 weights AS (SELECT module, accuracy, pow(accuracy, 4) / sum(pow(accuracy, 4)) OVER () AS weight FROM single)"""
 
 
 def proba(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = F.transform(F.slice("values", 1, 30), lambda x: F.abs(x) + 1e-9)
-    return evaluate.probability_rows(vector_series(spark, sf_dir), weights, MODULES, 10).withColumn("p", F.round("p", 9))
+    return evaluate.probability_rows(vector_series(spark, sf_dir), weights, MODULES, 10)
 
 
 def single(spark: SparkSession, sf_dir: str) -> DataFrame:
