@@ -85,10 +85,14 @@ def slots(barcodes: DataFrame, keys: list[str], hom_dims: tuple[int, ...]) -> Da
 
 
 def gather_bars(pairs: DataFrame, bars: DataFrame, keys: list[str], hom_dims: tuple[int, ...]) -> DataFrame:
-    """The same from long bars: every (pair, direction, hom_dim) has a row, with an empty array where it has no bars."""
-    grid = pairs.select(*keys).distinct().withColumn("direction", F.explode(F.array(F.lit("qc"), F.lit("cq")))).withColumn("hom_dim", F.explode(F.array(*map(F.lit, hom_dims))))
-    own = bars.groupBy(*keys, "direction", "hom_dim").agg(F.array_sort(F.collect_list(F.struct("birth", "death"))).alias("bars"))
-    return grid.join(own, [*keys, "direction", "hom_dim"], "left").withColumn("bars", F.coalesce("bars", F.array().cast("array<struct<birth:double,death:double>>")))
+    """The same from long bars: every (pair, direction, hom_dim) has a row, with an empty array where it has no bars.
+
+    Pairs come in as rows without a bar, so one shuffle by pair gathers all, and no join is needed.
+    """
+    bar = F.struct("direction", "hom_dim", "birth", "death")
+    none = F.lit(None).cast(bars.select(bar.alias("bar")).schema["bar"].dataType)
+    rows = pairs.select(*keys).distinct().withColumn("bar", none).unionByName(bars.select(*keys, bar.alias("bar")))
+    return slots(rows.groupBy(*keys).agg(F.array_sort(F.collect_list("bar")).alias("bars")), keys, hom_dims)
 
 
 def _sum(values: Column) -> Column:

@@ -101,7 +101,9 @@ def subclouds(pool: DataFrame, sizes: DataFrame, seed: int = 0, default: bool =
     they are joined with the class's series. With default there is also the subcloud that excludes none.
     """
     w = Window.partitionBy("label").orderBy(md5_order(seed, "label", "series_id", "point_idx"), "series_id", "point_idx")
-    ranked = pool.withColumn("rank", F.row_number().over(w)).join(F.broadcast(sizes.select("label", "size", "largest")), "label")
+    # A limit known beforehand lets every task cut its share of a class before the shuffle, whatever the class's size.
+    most = sizes.agg(F.max(F.col("size") + F.col("largest"))).head()[0] or 0
+    ranked = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(F.broadcast(sizes.select("label", "size", "largest")), "label")
     head = ranked.where(F.col("rank") <= F.col("size") + F.col("largest"))
     own = Window.partitionBy("label", "series_id").orderBy("rank")
     head = head.withColumn("own", F.row_number().over(own)).select("label", "series_id", "point_idx", "coords", "rank", "own", "size")
