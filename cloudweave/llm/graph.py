@@ -2,21 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudweave.llm.common import materialize
 
 
+#: Edges that a task contracts at a time.
+HELD = 1 << 19
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from each id to the smallest that the edges of this run reach: the same components, shorter paths."""
+
+    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        up = np.arange(len(ids))
+        x, y = at[: len(a)], at[len(a) :]
+        while True:  # pull both ends to the lesser root, then shorten all paths
+            np.minimum.at(up, np.maximum(up[x], up[y]), np.minimum(up[x], up[y]))
+            while not np.array_equal(jumped := up[up], up):
+                up = jumped
+            if (up[x] == up[y]).all():
+                break
+        off = np.flatnonzero(up != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[off]), pa.array(ids[up[off]])], names=["a", "b"])
+
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        held.append(np.stack([c.to_numpy() for c in batch.columns]))
+        size += batch.num_rows
+        if size >= HELD:
+            yield stars(*np.concatenate(held, 1))
+            held, size = [], 0
+    if size:
+        yield stars(*np.concatenate(held, 1))
+
+
+def _digest(e: DataFrame) -> tuple:
+    """The number of edges and the sum of their hashes: equal for equal tables."""
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b); component is the smallest id that links reach.
 
-    Each step is a minimum by id and a join; nothing gathers a neighbourhood, so an id of any degree is fine.
+    Tasks first contract the edges they read. Each step after that is a minimum by id and a join; nothing gathers a neighbourhood, so an id of any degree is fine.
     Steps end when a pass changes no edge; their number grows with the logarithm of the longest path.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialize(e)
-    seen = None
+    e = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    e = materialize(materialize(e).mapInArrow(_contract, "a long, b long"))
+    seen = _digest(e)
     while True:
         # large star: each neighbour above u points to the least of u's neighbourhood
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
@@ -26,7 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = materialize(e.select("e.a", "e.b").where("a <> b").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+        now = _digest(e)
         if now == seen:
             break
         seen = now
