@@ -8,13 +8,13 @@ Documents are sets of five-word shingles; two link when 100 * |A and B| >= 75 *
    those of rare cells first. Any order gives whole results; a rare-first one gives short lists.
 2. the first n - ceil(3n/4) + 1 shingles of each set are its prefix: linked sets share one. Rows of a shingle
    that one set alone has are dropped.
-3. in each shingle's list, by size, a set is paired with the one before it and with the head of the list, where
-   the length and the positional filter allow. Of its pairs each set has the one that most lists gave verified;
-   links give components.
+3. in each shingle's list, by size, a set is paired with those just before it and with the first of the list,
+   where the length and the positional filter allow. Of its pairs each set has the two that most lists gave
+   verified; links give components.
 4. now only pairs of different components matter. Lists with more than one component are joined whole, in
    blocks of LIST rows (a long list becomes many block pairs), under the same filters; each new pair is put to
    the suffix filter and verified. So no link between components is lost, and a group of thousands of near
-   copies costs about two pairs for each copy and shingle.
+   copies costs some pairs for each copy and shingle.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudweave.llm import common
@@ -32,6 +32,8 @@ from cloudweave.llm.graph import components
 
 #: Cells of the frequency table, rows of a list that meet in one task, bytes of a hash that sets are compared by.
 BUCKETS, LIST, KEPT = 1 << 20, 1024, 6
+#: Rows before a row, and first rows of a list, that it is paired with; pairs of a document that are verified first.
+NEAR, BEST = 6, 6
 
 
 _SEEDS = common.mix(np.arange(1, 3, dtype=np.uint64))
@@ -209,35 +211,41 @@ def shared_rows(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """One pair for each document: of those with the row before it and with the head of a list, as far as the
-    filters let them, the one that most lists give. The others matter only if components stay apart, and then they
-    come again from cross_pairs.
+    """At most BEST pairs for each document: of those with the NEAR rows before it and the NEAR first rows of a list,
+    as far as the filters let them, the ones that most lists give.
+
+    How many lists give a pair tells how alike two sets are. The pairs left out matter only if components
+    stay apart, and then they come again from cross_pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple | None = None
-        prev: tuple | None = None
+        held = [np.zeros(0, np.int64)] * 4  # first and last rows of the list that may go on
+        old = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, n, doc, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if prev is not None:  # a list may go on from the batch before
-                token, n, doc, pos = (np.concatenate(([a, b], c)) for a, b, c in zip(head, prev, (token, n, doc, pos), strict=True))
+            cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+            token, n, doc, pos = cols
             new = np.append(True, token[1:] != token[:-1])
             first = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-            at = np.flatnonzero(~new)
+            at = np.arange(old, len(token))
             pairs = []
-            for other in (at - 1, first[at]):
-                ok = _may_link(n[other], pos[other], n[at], pos[at]) & (doc[other] != doc[at])
-                pairs.append(np.stack([np.minimum(doc[other], doc[at])[ok], np.maximum(doc[other], doc[at])[ok]]))
-            found, lists_ = np.unique(np.concatenate(pairs, 1), axis=1, return_counts=True)
-            prev = tuple(x[-1] for x in (token, n, doc, pos))
-            head = tuple(x[first[-1]] for x in (token, n, doc, pos))
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(lists_.astype(np.int64))], names=["a", "b", "c"])
+            for k in range(NEAR):
+                for other in (at - 1 - k, first[at] + k):
+                    i = at[(other >= first[at]) & (other < at)]
+                    j = other[(other >= first[at]) & (other < at)]
+                    ok = _may_link(n[j], pos[j], n[i], pos[i]) & (doc[i] != doc[j])
+                    pairs.append(np.stack([np.minimum(doc[i], doc[j])[ok], np.maximum(doc[i], doc[j])[ok]]))
+            found, times = np.unique(np.concatenate(pairs, 1), axis=1, return_counts=True)
+            begin = int(first[-1])
+            keep = np.unique(np.concatenate([np.arange(begin, min(begin + NEAR, len(token))), np.arange(max(begin, len(token) - NEAR), len(token))]))
+            held, old = [c[keep] for c in cols], len(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(times.astype(np.int64))], names=["a", "b", "c"])
 
     dealt = lists.repartition("token").sortWithinPartitions("token", "n", "doc_id").select("token", "n", "doc_id", "pos")
     counted = dealt.mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    return counted.groupBy("b").agg(F.max(F.struct("c", -F.col("a"))).alias("best")).select((-F.col("best").getField("col2")).alias("a"), "b")
+    best = Window.partitionBy("b").orderBy(F.desc("c"), "a")
+    return counted.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= BEST).select("a", "b")
 
 
 def cross_pairs(lists: DataFrame, member: DataFrame) -> DataFrame:
