@@ -138,3 +138,33 @@ def test_passages_that_repeat_are_found(spark):
     got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {d for r in got for d in (r.doc_id, r.other_id)} == set(range(12))
     assert all(r.start >= 95 and r.similarity >= 0.75 for r in got)
+
+
+def test_passages_with_repeated_phrases():
+    """A shingle of the passage stands elsewhere in the other text too, or the passage stands there twice."""
+    own = np.arange(1000, 1070).astype(np.uint32)
+    for k in (0, 20, 35, 69):
+        y = np.concatenate([[own[k]], np.arange(115), own]).astype(np.uint32)
+        assert passages.same_passages(own, y) == [(0, 70, 116, 186, 1.0)]
+        assert passages.same_passages(y, own) == [(116, 186, 0, 70, 1.0)]
+    y = np.concatenate([own, np.arange(60), own, own[10:30]]).astype(np.uint32)
+    assert passages.same_passages(own, y) == [(0, 70, 0, 70, 1.0), (0, 70, 130, 200, 1.0)]
+    line = np.arange(500, 512).astype(np.uint32)
+    x, y = np.concatenate([np.tile(line, 3), own, np.tile(line, 2)]), np.concatenate([np.tile(line, 5), np.arange(60).astype(np.uint32), own])
+    assert (36, 106) in {(max(i, 36), min(j, 106)) for i, j, *_ in passages.same_passages(x, y)}
+
+
+def test_runs_of_equal_shingles(monkeypatch):
+    monkeypatch.setattr(passages, "POINTS", 5)
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        x, y = (rng.integers(0, 4, int(rng.integers(1, 30))).astype(np.uint32) for _ in range(2))
+        want = set()
+        for i in range(len(x)):
+            for k in range(len(y)):
+                if x[i] == y[k] and not (i and k and x[i - 1] == y[k - 1]):
+                    n = 0
+                    while i + n < len(x) and k + n < len(y) and x[i + n] == y[k + n]:
+                        n += 1
+                    want.add((i, k, n))
+        assert set(zip(*(c.tolist() for c in passages._runs(x, y)))) == want
