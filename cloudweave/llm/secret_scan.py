@@ -5,6 +5,7 @@ the corpus's common words, the document's path (its source) and the neighbouring
 findings. Where none are given they come from the corpus: a candidate assigned to a name such as token or
 password is a finding, one that stands in plain text is not; in half of the former (by hash of the value) the
 neighbouring words are withheld, so that the forest learns what secrets look like and not that rule alone.
+What looks random in plain text may be either and trains nothing; so do plain words assigned to a name.
 """
 
 from __future__ import annotations
@@ -24,12 +25,19 @@ from cloudweave.llm import common
 
 #: Labelled findings that train at most (those of least hash); trees, depth; cells of the table of words.
 SAMPLE, TREES, DEPTH, CELLS = 20_000, 30, 6, 1 << 18
+#: Entropy, in bits a character, from which a value looks random; mail and web addresses do not.
+RANDOM, ADDRESS = 2.75, r"^[^@]+@[^@]+\.[A-Za-z]+$|^https?://|^www\."
 
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=\-]{16,}")
+#: A run in plain text: printable ASCII but quotes, brackets, commas, semicolons and bars; LONG ones need no digit.
+CANDIDATE, LONG = re.compile(r"[!#-&*+\--:=?@A-Z\\^_a-z~]{8,}"), 16
+ENDS = "!#$%&*.:?@\\^~"
+DIGIT = re.compile(r"[0-9]")
 #: Names that secrets are assigned to; words that mark stand-ins; words of paths of tests.
 NAMES = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key)\W{0,4}$", re.I)
 STAND_INS = re.compile(r"example|dummy|sample|placeholder|checksum|sha\d*|md5|commit|fingerprint|uuid|digest|licen[cs]e", re.I)
 TEST_PATHS = re.compile(r"test|example|sample|mock|fixture|doc", re.I)
+#: A name, what assigns, and the value: all between quotes on one line, else all up to white space.
+VALUE = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)(?:s|[_-]\w{1,20})?[\"'`\])}]{0,2}[ \t]{0,4}(?::=|=>|[=:]{1,3})\s{0,4}(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|(\S+))|bearer[ \t:=]{1,4}[\"'`]?([^\s\"'`]+)", re.I)
 ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$")
 WORD = re.compile(r"[A-Za-z]{3,}")
 
@@ -75,19 +83,44 @@ def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def string_features(value: str, transitions: np.ndarray, common_word) -> list[float]:
-    raw = np.frombuffer(value.encode("ascii"), np.uint8)
+    raw = np.frombuffer(value.encode(), np.uint8)
+    raw = np.where(raw > 127, 1, raw)
     counts = np.unique(raw, return_counts=True)[1] / len(raw)
     digits = float(((raw >= 48) & (raw <= 57)).mean())
     upper = float(((raw >= 65) & (raw <= 90)).mean())
     lower = float(((raw >= 97) & (raw <= 122)).mean())
     covered = sum(len(w) for w in WORD.findall(value) if common_word(w)) / len(value)
-    return [float(len(value)), float(-(counts * np.log2(counts)).sum()), digits, upper, 1 - digits - upper - lower, len(counts) / len(value), float(transitions[raw[:-1], raw[1:]].mean()), covered]
+    return [float(len(value)), float(-(counts * np.log2(counts)).sum()), digits, upper, 1 - digits - upper - lower, len(counts) / len(value), float(transitions[raw[:-1], raw[1:]].mean()) if len(raw) > 1 else 0.0, covered]
+
+
+def spans(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Start, end and whether assigned to a name, of every candidate of a text; candidates never overlap."""
+    at = 0
+    for m in VALUE.finditer(text):
+        start, end = m.span(m.lastindex)
+        if m.lastindex >= 4:  # without quotes, what closes a sentence or a bracket is not the value's
+            end = start + len(text[start:end].rstrip("\"'`,;)]}>").rstrip(".") or text[start:end])
+        yield from _runs(text, at, start)
+        yield start, end, True
+        at = end
+    yield from _runs(text, at, len(text))
+
+
+def _runs(text: str, begin: int, end: int) -> Iterator[tuple[int, int, bool]]:
+    for m in CANDIDATE.finditer(text, begin, end):
+        if len(m[0]) >= LONG or DIGIT.search(m[0]):
+            value = m[0].lstrip(ENDS)
+            start = m.end() - len(value)
+            value = value.rstrip(ENDS)
+            if len(value) >= LONG or (len(value) >= 8 and DIGIT.search(value)):
+                yield start, start + len(value), False
 
 
 def candidates(docs: DataFrame, statistics: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """row_key, doc_id, start (characters), value and FEATURES of every candidate of every whole text.
 
-    A candidate is a run of 16 or more of A-Z a-z 0-9 _ + / = - that has a digit, or that is assigned to a name.
+    A candidate is any value assigned to a name, of any length and alphabet, or a run of CANDIDATE that has 16
+    characters, or 8 and a digit.
     """
     shared = docs.sparkSession.sparkContext.broadcast(statistics)
 
@@ -108,14 +141,12 @@ def candidates(docs: DataFrame, statistics: tuple[np.ndarray, np.ndarray]) -> Da
         for batch in batches:
             rows: dict[str, list] = {n: [] for n in ("row_key", "doc_id", "start", "value", *FEATURES)}
             for key, doc, path, text in zip(*(batch.column(n).to_pylist() for n in ("row_key", "doc_id", "path", "text")), strict=True):
-                for m in CANDIDATE.finditer(text):
-                    value, before, after = m[0], text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 20]
-                    assigned = bool(ASSIGNED.search(before))
-                    named = bool(NAMES.search(before))
-                    if not (named or any(c.isdigit() for c in value)):
-                        continue
+                for start, end, given in spans(text):
+                    value, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 20]
+                    assigned = given or bool(ASSIGNED.search(before))
+                    named = given or bool(NAMES.search(before))
                     context = [float(named), float(assigned), float(before[-1:] in "\"'`" and before[-1:] == after[:1] and before != ""), float(bool(STAND_INS.search(before) or STAND_INS.search(after))), float(bool(TEST_PATHS.search(path)))]
-                    got = [key, doc, m.start(), value, *string_features(value, transitions, common_word), *context]
+                    got = [key, doc, start, value, *string_features(value, transitions, common_word), *context]
                     for n, v in zip(rows, got, strict=True):
                         rows[n].append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(FEATURES)]
@@ -126,10 +157,16 @@ def candidates(docs: DataFrame, statistics: tuple[np.ndarray, np.ndarray]) -> Da
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings from the corpus, one for each distinct value: FEATURES and label."""
-    label = ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("stand_in") == 0)).cast("double")
+    """Labelled findings from the corpus, one for each distinct value: FEATURES and label.
+
+    A value of digits and letters at RANDOM bits a character, without a name or word that tells, has no label.
+    """
+    named, digits = (F.col("named") == 1) & (F.col("assigned") == 1), F.col("digits")
+    random = (digits > 0) & (digits + F.col("other") < 1) & (F.col("entropy") >= RANDOM) & ~F.col("value").rlike(ADDRESS)
+    plain = (digits == 0) & (F.col("other") == 0) & (F.col("length") < LONG)
+    label = F.when(F.col("stand_in") == 1, 0.0).when(named, F.when(~plain, 1.0)).when((F.col("named") == 0) & ~random, 0.0)
     blind = (F.col("label") == 1) & (F.crc32("value") % 2 == 0)
-    rows = found.withColumn("label", label).groupBy("value").agg(F.max("label").alias("label"), *(F.max(n).alias(n) for n in FEATURES))
+    rows = found.withColumn("label", label).groupBy("value").agg(F.max("label").alias("label"), *(F.max(n).alias(n) for n in FEATURES)).where("label is not null")
     return rows.select("value", "label", *STRING, *(F.when(blind, 0.0).otherwise(F.col(n)).alias(n) for n in CONTEXT))
 
 

@@ -128,6 +128,27 @@ def test_secrets_are_found_and_masked(spark, empty):
     assert secret_scan.scan(empty).count() == secret_scan.redact(empty).count() == 0
 
 
+def test_short_passwords_and_dotted_tokens(spark):
+    """Values of 8 to 15 characters, or of any alphabet, are found and masked; random values in prose train nothing."""
+    import hashlib
+
+    words = ["Tr0ub4dor&3", "p@ss.W0rd!", "hunter2$x", "a8#Kq", "zw9!Lm&4", "größe7$"]
+    rows = [(i, f'plain words password = "{words[i % 6][:-1]}{i}{words[i % 6][-1]}" and more', "src") for i in range(60)]
+    rows += [(100 + i, f"a card 4{1000000000000007 + 7919 * i:015d} and the date 2024-01-{i:02d} of a plain text", "src") for i in range(60)]
+    rows += [(200 + i, f"in prose AKIA{hashlib.md5(str(i).encode()).hexdigest()[:16].upper()} stands", "src") for i in range(20)]
+    jwt = "eyJhbGci.eyJzdWIi" + ".sig_2-x"
+    rows += [(300, f"Authorization: Bearer {jwt}", "src"), (301, f"password: {words[0]}, next", "src"), (302, f"the token {jwt} in prose", "src")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table = df.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.lit("").alias("path"), "text")
+    found = secret_scan.candidates(table, secret_scan.corpus_statistics(table.select("text"))).persist()
+    values = {(r.doc_id, r.value): r for r in found.collect()}
+    assert (300, jwt) in values and (301, words[0]) in values and (302, jwt) in values
+    assert not {r.value for r in secret_scan.weak_labels(found).where("label = 0").collect() if r.value.startswith("AKIA")}
+    masked = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert all(masked[i] == 'plain words password = "[SECRET]" and more' for i in range(60))
+    assert all(masked[100 + i] == rows[60 + i][1] for i in range(60)) and masked[301] == "password: [SECRET], next"
+
+
 def test_forest_from_given_labels(spark, odd):
     labelled = spark.createDataFrame([(f"v{i}", float(i % 2), *[float(i % 2)] * len(secret_scan.FEATURES)) for i in range(40)], "value string, label double, " + ", ".join(f"{n} double" for n in secret_scan.FEATURES))
     assert secret_scan.fit(labelled) is not None and secret_scan.fit(labelled.where("label = 1")) is None
