@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from cloudweave.llm import jaccard, passages, sorting, substrings
 from tests.llm import brute
@@ -71,8 +72,12 @@ def test_jaccard_join_equals_brute_force(documents, odd):
         assert sorted((str(r.doc_id), r.n_shingles) for r in got) == sorted((str(d), len(brute.shingles(t))) for d, t in rows)
 
 
-def test_jaccard_group_of_near_copies(spark):
-    """Many near copies of one text, each with its own word changed, and chains whose ends are unlike."""
+@pytest.mark.parametrize("limits", [{}, {"few": 1, "limit": 3}, {"few": 10**6}])
+def test_jaccard_group_of_near_copies(spark, limits):
+    """Many near copies of one text, each with its own word changed, and chains whose ends are unlike.
+
+    All lists long and dealt into small cells, or all of them short, give the same.
+    """
     rng = random.Random(3)
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
     rows = []
@@ -87,12 +92,40 @@ def test_jaccard_group_of_near_copies(spark):
         rows.append((1000 + i, " ".join(chain)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute.components(rows)
-    assert {r.doc_id: r.component_id for r in jaccard.join(df).collect()} == want
-
-
-def test_blocks_of_a_list_meet(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LIST", 3)
-    test_jaccard_group_of_near_copies(spark)
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, **limits).collect()} == want
+
+
+def test_pairs_of_a_list_meet_once(spark):
+    """Each pair of different components of a list comes once, whatever the cells; its filters lose no linked pair."""
+    rng = np.random.default_rng(9)
+    n = 40
+    rows = [(7, i, 100 << 32 | i % 5, int(rng.integers(0, 4)) if i % 3 else 0, bytes(64)) for i in range(n)]
+    df = spark.createDataFrame(rows, "token long, id long, size long, component long, bits binary")
+    want = sorted((i, j) for i in range(n) for j in range(i + 1, n) if rows[i][3] != rows[j][3])
+    for limit in (3, 512):
+        assert sorted((r.a, r.b) for r in jaccard.long_pairs(df, limit).collect()) == want
+    assert sorted((r.a, r.b) for r in jaccard.short_pairs(df, n + 1).collect()) == want
+
+
+def test_bounds_of_linked_sets():
+    """What the filters ask for holds for sets that just link, in any order of their shingles."""
+    rng = np.random.default_rng(10)
+    for n in (1, 2, 5, 20, 90, 300):
+        for _ in range(20):
+            a = rng.choice(10**9, n, replace=False)
+            b = np.concatenate([a[: -(-6 * n // 7)], rng.choice(np.arange(10**9, 2 * 10**9), n // 7)])
+            a, b = (np.unique(x.astype(np.uint64)) for x in (a, b))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < 75 * (len(a) + len(b) - both):
+                continue
+            bits = jaccard.parities(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+            assert jaccard.differ(bits[:1], bits[1:])[0] <= len(a) + len(b) - 2 * both
+            rank = {x: k for k, x in enumerate(rng.permutation(np.union1d(a, b)).tolist())}
+            p, q = (sorted(x.tolist(), key=rank.get)[: len(x) - -(-3 * len(x) // 4) + 1] for x in (a, b))
+            shared = [x for x in p if x in q]
+            sizes = np.array([len(a)]), np.array([len(b)])
+            assert len(shared) >= jaccard.least_count(*sizes)[0]
+            assert max(jaccard.room(sizes[0], np.array([p.index(x)]), sizes[1], np.array([q.index(x)]))[0] for x in shared) >= 0
 
 
 def test_suffix_filter_never_exceeds_the_difference():
