@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudweave.llm.common import materialize
+from cloudweave.llm.common import discard, materialize
 
 
 #: Edges that a task contracts at a time.
 HELD = 1 << 19
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contract(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
     """Edges from each id to the smallest that the edges of this run reach: the same components, shorter paths."""
 
     def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -37,7 +37,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(np.stack([c.to_numpy() for c in batch.columns]))
         size += batch.num_rows
-        if size >= HELD:
+        if size >= most:
             yield stars(*np.concatenate(held, 1))
             held, size = [], 0
     if size:
@@ -49,16 +49,17 @@ def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, held: int = HELD) -> DataFrame:
     """(id, component) of every id in edges (a, b); component is the smallest id that links reach.
 
     Tasks first contract the edges they read. Each step after that is a minimum by id and a join; nothing gathers a neighbourhood, so an id of any degree is fine.
     Steps end when a pass changes no edge; their number grows with the logarithm of the longest path.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    e = materialize(materialize(e).mapInArrow(_contract, "a long, b long"))
+    e = materialize(e.mapInArrow(lambda batches: _contract(batches, held), "a long, b long"))
     seen = _digest(e)
     while True:
+        before = e
         # large star: each neighbour above u points to the least of u's neighbourhood
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -67,6 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = materialize(e.select("e.a", "e.b").where("a <> b").distinct())
+        discard(before)
         now = _digest(e)
         if now == seen:
             break
