@@ -1,8 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 The forest sees a candidate's length, its character transitions under the corpus's own, how much of it is made of
-the corpus's common words, the document's path (its source) and the neighbouring words. It learns from labelled
-findings. Where none are given they come from the corpus: a candidate assigned to a name such as token or
+the corpus's common words, the document's path (its source) and the neighbouring words: five tests for telling
+ones, and all of them hashed into cells. It learns from labelled findings. Where none are given they come from the corpus: a candidate assigned to a name such as token or
 password is a finding, one that stands in plain text is not; in half of the former (by hash of the value) the
 neighbouring words are withheld, so that the forest learns what secrets look like and not that rule alone.
 What looks random in plain text may be either and trains nothing; so do plain words assigned to a name.
@@ -11,6 +11,7 @@ What looks random in plain text may be either and trains nothing; so do plain wo
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +39,23 @@ STAND_INS = re.compile(r"example|dummy|sample|placeholder|checksum|sha\d*|md5|co
 TEST_PATHS = re.compile(r"test|example|sample|mock|fixture|doc", re.I)
 #: A name, what assigns, and the value: all between quotes on one line, else all up to white space.
 VALUE = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)(?:s|[_-]\w{1,20})?[\"'`\])}]{0,2}[ \t]{0,4}(?::=|=>|[=:]{1,3})\s{0,4}(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|(\S+))|bearer[ \t:=]{1,4}[\"'`]?([^\s\"'`]+)", re.I)
+#: A private key in its armour, over several lines.
+KEY_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----[^-]{1,100000}-----END \1PRIVATE KEY-----")
 ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$")
 WORD = re.compile(r"[A-Za-z]{3,}")
 
 STRING = ("length", "entropy", "digits", "upper", "other", "distinct", "transitions", "covered")
-CONTEXT = ("named", "assigned", "quoted", "stand_in", "test_path")
+#: Cells that the neighbouring words before and behind a candidate, and the words of its path, are hashed into.
+BEFORE, AFTER, PATH = 16, 8, 8
+CONTEXT = ("named", "assigned", "quoted", "stand_in", "test_path", *(f"before_{k}" for k in range(BEFORE)), *(f"after_{k}" for k in range(AFTER)), *(f"path_{k}" for k in range(PATH)))
 FEATURES = (*STRING, *CONTEXT)
 
 
 def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of byte transitions (128 x 128), and counts of lower-cased words by cell, over all documents.
 
-    Both tables have a fixed size; tasks' tables are added on the executors.
+    Both tables have a fixed size; tasks' tables are added on the executors. No transition or word spans two texts,
+    so the tables do not depend on how the rows are dealt out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,11 +64,16 @@ def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for part in common.slices(batch):
                 buf, offsets = common.text_bytes(part.column("text"))
                 buf = np.where(buf > 127, 1, buf).astype(np.uint8)
-                pairs += np.bincount((buf[:-1].astype(np.int32) << 7) | buf[1:], minlength=1 << 14)
+                n = int(offsets[-1])
+                begins = np.zeros(n + 1, bool)  # where a text begins, and behind the last
+                begins[offsets] = True
+                two = (buf[: max(0, n - 1)].astype(np.int32) << 7) | buf[1 : max(1, n)]
+                pairs += np.bincount(two[~begins[1:n]], minlength=1 << 14)
                 low = common.lower_ascii(buf)
                 letter = (low >= 97) & (low <= 122)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], letter.view(np.int8), [0]))))
-                starts, ends = edge[::2], edge[1::2]
+                letter[n:] = False
+                starts = np.flatnonzero(letter[:n] & (begins[:n] | ~np.append(False, letter[: n - 1])[:n]))
+                ends = np.flatnonzero(letter[:n] & (begins[1 : n + 1] | ~letter[1 : n + 1])) + 1
                 long = ends - starts >= 3
                 h = common.span_hashes(low, starts[long], (ends - starts)[long])
                 np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
@@ -82,6 +93,14 @@ def corpus_statistics(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.log(pairs / pairs.sum(1, keepdims=True)), np.frombuffer(got[1], np.int64)
 
 
+def word_cells(text: str, cells: int) -> list[float]:
+    """1 for each cell that one of the text's words, lower-cased, is hashed into."""
+    out = [0.0] * cells
+    for w in WORD.findall(text):
+        out[zlib.crc32(w.lower().encode()) % cells] = 1.0
+    return out
+
+
 def string_features(value: str, transitions: np.ndarray, common_word) -> list[float]:
     raw = np.frombuffer(value.encode(), np.uint8)
     raw = np.where(raw > 127, 1, raw)
@@ -94,16 +113,24 @@ def string_features(value: str, transitions: np.ndarray, common_word) -> list[fl
 
 
 def spans(text: str) -> Iterator[tuple[int, int, bool]]:
-    """Start, end and whether assigned to a name, of every candidate of a text; candidates never overlap."""
+    """Start, end and whether named or a key block, of every candidate of a text; candidates never overlap."""
     at = 0
-    for m in VALUE.finditer(text):
+    for m in KEY_BLOCK.finditer(text):
+        yield from _values(text, at, m.start())
+        yield m.start(), m.end(), True
+        at = m.end()
+    yield from _values(text, at, len(text))
+
+
+def _values(text: str, at: int, stop: int) -> Iterator[tuple[int, int, bool]]:
+    for m in VALUE.finditer(text, at, stop):
         start, end = m.span(m.lastindex)
         if m.lastindex >= 4:  # without quotes, what closes a sentence or a bracket is not the value's
             end = start + len(text[start:end].rstrip("\"'`,;)]}>").rstrip(".") or text[start:end])
         yield from _runs(text, at, start)
         yield start, end, True
         at = end
-    yield from _runs(text, at, len(text))
+    yield from _runs(text, at, stop)
 
 
 def _runs(text: str, begin: int, end: int) -> Iterator[tuple[int, int, bool]]:
@@ -119,8 +146,8 @@ def _runs(text: str, begin: int, end: int) -> Iterator[tuple[int, int, bool]]:
 def candidates(docs: DataFrame, statistics: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """row_key, doc_id, start (characters), value and FEATURES of every candidate of every whole text.
 
-    A candidate is any value assigned to a name, of any length and alphabet, or a run of CANDIDATE that has 16
-    characters, or 8 and a digit.
+    A candidate is any value assigned to a name, of any length and alphabet, a private key's block, or a run of
+    CANDIDATE that has 16 characters, or 8 and a digit.
     """
     shared = docs.sparkSession.sparkContext.broadcast(statistics)
 
@@ -146,6 +173,7 @@ def candidates(docs: DataFrame, statistics: tuple[np.ndarray, np.ndarray]) -> Da
                     assigned = given or bool(ASSIGNED.search(before))
                     named = given or bool(NAMES.search(before))
                     context = [float(named), float(assigned), float(before[-1:] in "\"'`" and before[-1:] == after[:1] and before != ""), float(bool(STAND_INS.search(before) or STAND_INS.search(after))), float(bool(TEST_PATHS.search(path)))]
+                    context += [*word_cells(before, BEFORE), *word_cells(after, AFTER), *word_cells(path, PATH)]
                     got = [key, doc, start, value, *string_features(value, transitions, common_word), *context]
                     for n, v in zip(rows, got, strict=True):
                         rows[n].append(v)
@@ -170,6 +198,17 @@ def weak_labels(found: DataFrame) -> DataFrame:
     return rows.select("value", "label", *STRING, *(F.when(blind, 0.0).otherwise(F.col(n)).alias(n) for n in CONTEXT))
 
 
+def labelled_findings(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """FEATURES, value and label of findings that people labelled: labels (doc_id, start, length, label), start in characters.
+
+    Labels that are no candidate of their document train nothing. The corpus's statistics are those of docs.
+    """
+    table = _rows(docs)
+    found = candidates(table, corpus_statistics(table.select("text"))).withColumn("length", F.char_length("value"))
+    given = labels.select("doc_id", "start", "length", F.col("label").cast("double").alias("label"))
+    return found.join(given, ["doc_id", "start", "length"]).select("value", "label", *FEATURES)
+
+
 def fit(labelled: DataFrame):
     """The forest, from rows of FEATURES, label and value; None where one of the two labels is missing.
 
@@ -184,11 +223,15 @@ def fit(labelled: DataFrame):
     return forest.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample))
 
 
-def findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """row_key, doc_id, start, length, value, score, is_secret of every candidate."""
+def _rows(docs: DataFrame) -> DataFrame:
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(), path.alias("path"))
-    table = table.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "path", "text")
+    return table.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "path", "text")
+
+
+def findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """row_key, doc_id, start, length, value, score, is_secret of every candidate."""
+    table = _rows(docs)
     found = common.materialize(candidates(table, corpus_statistics(table.select("text"))))
     model = fit(weak_labels(found) if labelled is None else labelled)
     if model is None:
@@ -232,5 +275,3 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     names = docs.columns
     return joined.select(*names, spans_).mapInArrow(run, docs.schema)
-
-

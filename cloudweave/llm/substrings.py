@@ -113,7 +113,7 @@ def window_runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], begin - offsets[row[first]], count, inner, key[first], range_hash(sums, inverse, begin, begin + count - 1 + LENGTH)
 
 
-def runs(docs: DataFrame) -> DataFrame:
+def runs(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """(key, run, doc_id, start, n, inner) of all windows of all texts. A long text is read in pieces that overlap."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,16 +121,15 @@ def runs(docs: DataFrame) -> DataFrame:
             for part in common.slices(batch):
                 buf, offsets = common.text_bytes(part.column("text"))
                 ids = part.column("doc_id")
-                if offsets[-1] <= 2 * PIECE:
-                    spans = [(buf, offsets, 0)]
-                else:
-                    whole = buf[: int(offsets[-1])]
-                    spans = [(whole[max(0, a) : a + PIECE + LENGTH - 1], None, a) for a in range(0, len(whole), PIECE)] if len(offsets) == 2 else [(buf, offsets, 0)]
-                for data, off, shift in spans:
+                spans = [(buf, offsets, 0, 0)]
+                if offsets[-1] > 2 * piece:
+                    own = [(k, buf[a:b]) for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)) if b > a]
+                    spans = [(x[a : a + piece + LENGTH - 1], None, a, k) for k, x in own for a in range(0, len(x), piece)]
+                for data, off, shift, base in spans:
                     off = np.array([0, len(data)]) if off is None else off
                     row, start, n, inner, key, run = window_runs(data, off)
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), ids.take(pa.array(row)), pa.array((start + shift).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(inner)], names=["key", "run", "doc_id", "start", "n", "inner"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), ids.take(pa.array(row + base)), pa.array((start + shift).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(inner)], names=["key", "run", "doc_id", "start", "n", "inner"])
 
     return docs.mapInArrow(out, "key long, run long, doc_id long, start long, n int, inner boolean")
 
@@ -157,7 +156,7 @@ def _contexts(chosen: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(spans, "doc_id").mapInArrow(cut, "key long, block int, start long, n int, alone boolean, doc_id long, bytes binary")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], most: int = SORTED) -> Iterator[pa.RecordBatch]:
     """Repeated windows of each (key, block), rows sorted by them: (doc_id, start, n, key, h1, h2).
 
     A row with h1 null says that n windows from start on repeat. Where a key has other blocks, each window that
@@ -174,7 +173,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offset = (np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
         at = offsets[owner] + offset
         again, first = np.zeros(len(at), bool), np.zeros(len(at), bool)
-        passes = -(-len(at) // SORTED)
+        passes = -(-len(at) // most)
         deal = (common.mix(common.unaligned_u64(buf)[at]) % np.uint64(passes)).astype(np.uint16) if passes > 1 else None
         for k in range(passes):
             own = slice(None) if deal is None else np.flatnonzero(deal == k)
@@ -220,9 +219,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(held)
 
 
-def repeated_ranges(docs: DataFrame, texts: DataFrame) -> DataFrame:
+def repeated_ranges(docs: DataFrame, texts: DataFrame, piece: int = PIECE, most: int = SORTED) -> DataFrame:
     """(doc_id, start, n): windows from start on that repeat. docs and texts: (doc_id, text), texts as they join."""
-    table = common.materialize(runs(docs))
+    table = common.materialize(runs(docs, piece))
     keys = table.groupBy("key").agg(F.count("*").alias("c"), F.max("inner").alias("inner")).where("c > 1 or inner").select("key")
     shared = common.materialize(table.join(keys, "key"))
     classes = common.materialize(shared.groupBy("key", "run", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("inner").alias("inner")))
@@ -233,7 +232,7 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame) -> DataFrame:
         "key", F.pmod(F.col("run"), F.col("blocks")).cast("int").alias("block"), F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", (F.col("blocks") == 1).alias("alone")
     )
     dealt = _contexts(chosen, texts).repartition("key", "block").sortWithinPartitions("key", "block")
-    compared = common.materialize(dealt.mapInArrow(_compare, "doc_id long, start long, n int, h1 long, h2 long"))
+    compared = common.materialize(dealt.mapInArrow(lambda batches: _compare(batches, most), "doc_id long, start long, n int, h1 long, h2 long"))
     inside = compared.where("h1 is null").select("doc_id", "start", "n")
     open_ = compared.where("h1 is not null")
     met = open_.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
@@ -241,9 +240,7 @@ def repeated_ranges(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return whole.union(inside).union(across)
 
 
-
-
-def _with_spans(docs: DataFrame, own: list[str]) -> DataFrame:
+def _with_spans(docs: DataFrame, own: list[str], **limits: int) -> DataFrame:
     """docs with further columns, named by own: the id, the whole text, and the ranges of windows that repeat.
 
     A row's key is its id, or a 64-bit hash of id and text where ids are missing or repeat.
@@ -254,7 +251,7 @@ def _with_spans(docs: DataFrame, own: list[str]) -> DataFrame:
     clash = table.groupBy(id_).agg(F.count("*").alias("c")).where(f"c > 1 or `{id_}` is null").limit(1).count()
     table = table.withColumn(key, F.xxhash64(id_, text) if clash else F.col(id_))
     texts = table.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    found = repeated_ranges(texts, texts)
+    found = repeated_ranges(texts, texts, **limits)
     ranges = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "n")).alias(spans))
     return table.join(ranges, key, "left").select(*docs.columns, *own)
 
@@ -275,13 +272,14 @@ def without(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, **limits: int) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document.
 
     A byte goes if a LENGTH-byte string that covers it also starts anywhere else, in this document or another;
     all strings are judged on the input. Null and empty texts have no bytes. Rows that share a doc_id, or
     have none, are documents of their own, told apart by a 64-bit hash of id and text; rows equal in both lose
-    the same bytes. An empty table gives no rows. Other columns play no part.
+    the same bytes. An empty table gives no rows. Other columns play no part. limits: piece, the bytes of a long text
+    that are read at a time, and most, the windows that are sorted at a time; neither changes the result.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +292,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 3, pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text"), ["_id", "_text", "_spans"]).select("_id", "_text", "_spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text"), ["_id", "_text", "_spans"], **limits).select("_id", "_text", "_spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:

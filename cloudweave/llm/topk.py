@@ -71,7 +71,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     Null vectors, and those with null or non-finite components, take no part; nor does a null id. Vectors of
     unlike length are compared as if the shorter ended in zeros. A repeated id is a candidate for each of its
     rows, and one query (its least vector); rows of the query's own id are no candidates for it. An empty table
-    gives no rows. Sums beyond 2**53 are kept in 64-bit integers.
+    gives no rows. Sums beyond 2**53 are kept in 64-bit integers; blocks whose sums may exceed 64 bits raise ValueError.
     """
     v = vectors.select(F.col(id_column).cast("long").alias("vec_id"), floor_256(F.col(vector_column)).alias("v"), is_query.alias("q")).where("vec_id is not null and v is not null")
     n, n_queries, dims = v.agg(F.count("*"), F.count_if("q"), F.max(F.size("v"))).head()
@@ -88,6 +88,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
             qs, q_ids = _matrix(left.column("v"), dims), left.column("vec_id").to_numpy()
             x, ids = _matrix(right.column("v"), dims), right.column("vec_id").to_numpy()
             bound = float(np.abs(qs).max(initial=0)) * float(np.abs(x).max(initial=0)) * dims
+            if bound >= 2**63:
+                raise ValueError("inner products may exceed 64 bits")
             if bound < 2**53:  # then doubles are exact, and much faster
                 qs, x = qs.astype(np.float64), x.astype(np.float64)
             squares = np.array([(x[a : a + STEP].astype(np.float64) ** 2).sum(0) for a in range(0, dims, STEP)])
