@@ -60,8 +60,8 @@ def cap_grid(lengths: DataFrame, tau: int, m: int, stride: int, min_points: int
     return best.select("length", F.col("b.t").alias("tau"), F.col("b.d").alias("m"), F.col("b.s").alias("stride"))
 
 
-def search(series: DataFrame, max_tau: int, max_m: int, stride: int = 1, sample: int = 5, seed: int = 0) -> tuple[int, int, int]:
-    """(tau, m, stride) from a sample of series: medians of each one's first minimum of mutual information and of the
+def search(series: DataFrame, max_tau: int, max_m: int, stride: int = 1, sample: int | None = 5, seed: int = 0) -> tuple[int, int, int]:
+    """(tau, m, stride) from a sample of series, or all of them if it is None: medians of each one's first minimum of mutual information and of the
     dimension at which false neighbours end, capped so that they fit."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,8 @@ def search(series: DataFrame, max_tau: int, max_m: int, stride: int = 1, sample:
             found = [kernels.embedding_parameters(np.asarray(v, float), max_tau, max_m) for v in batch["values"]]
             yield pd.DataFrame(found, columns=["tau", "m"])
 
-    chosen = series.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("series_id").cast("string")))).limit(sample)
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("series_id").cast("string")))
+    chosen = series if sample is None else series.orderBy(order).limit(sample)
     row = chosen.select("values").mapInPandas(one, "tau int, m int").agg(F.median("tau"), F.median("m")).head()
     length = series.agg(F.min(F.size("values"))).head()[0]
     return cap_embedding(length, round(row[0]), round(row[1]), stride)

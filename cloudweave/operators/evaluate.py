@@ -11,18 +11,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudweave.operators.ordering import md5_of, ranked
 
-def folds(rows: DataFrame, k: int, seed: int, key: str, stratum: str | None = None) -> DataFrame:
-    """rows with fold: shuffled by md5, and within each stratum as even as can be.
 
-    Unstratified folds take the md5 itself modulo k, so that no task sorts the whole table; stratified ones number
-    the rows of a stratum.
-    """
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    if stratum is None:
-        return rows.withColumn("fold", F.pmod(F.conv(F.substring(order, 1, 12), 16, 10).cast("long"), F.lit(k)).cast("int"))
-    w = Window.partitionBy(stratum).orderBy(order, key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+def folds(rows: DataFrame, k: int, seed: int, key: str, stratum: str | None = None) -> DataFrame:
+    """rows with fold: shuffled by md5, and within each stratum as even as can be."""
+    placed = ranked(rows, md5_of(seed, key), key, *([stratum] if stratum else []), name="_place")
+    return placed.withColumn("fold", F.pmod(F.col("_place") - 1, F.lit(k)).cast("int")).drop("_place")
 
 
 def accuracy(predictions: DataFrame, *group: str) -> DataFrame:
@@ -49,8 +44,8 @@ def cawpe_weights(accuracies: DataFrame, group: list[str], alpha: float = 4.0) -
 
 
 def fuse_weighted(proba: DataFrame, weights: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    """The weighted sum of the modules' probabilities. weights: one row for each module (and group), broadcast."""
-    joined = proba.join(F.broadcast(weights.select(*on, "weight")), on)
+    """The weighted sum of the modules' probabilities. weights: one row for each module (and group)."""
+    joined = proba.join(weights.select(*on, "weight"), on)
     return joined.groupBy(*keys, "class_label").agg(F.sum(F.col("weight") * F.col("p")).alias("p"))
 
 
@@ -113,8 +108,11 @@ def cross_validate(features: dict[int, tuple[DataFrame, DataFrame]], estimator)
 
 
 def out_of_fold(rows: DataFrame, estimator, module: str, k: int, seed: int) -> DataFrame:
-    """Probability rows of every training row, each from the model that did not see it. rows: series_id, label, features."""
-    dealt = folds(rows, k, seed, "series_id", "label").persist()
+    """Probability rows of every training row, each from the model that did not see it. rows: series_id, label, features.
+
+    For features of a row alone; those that are fitted to other rows need experiments.out_of_fold.
+    """
+    dealt = folds(rows, k, seed, "series_id", "label")
     out = None
     for f in range(k):
         model = Classifier(estimator).fit(dealt.where(F.col("fold") != f))
@@ -132,18 +130,17 @@ def stack(train: DataFrame, test: DataFrame, columns: list[str], estimator) -> D
 def permutation_importance(model: Classifier, rows: DataFrame, size: int, repeats: int = 10, seed: int = 0) -> DataFrame:
     """(slot, importance, importance_std): mean and population deviation of the accuracy lost when a slot is shuffled.
 
-    All repeats of a slot are one job: rows are paired with donors of the same place in another md5 order.
+    All repeats of a slot are one job: rows are paired with donors of the same place in another md5 order. Places
+    are given to ids alone, and only the donated value travels with them; a row's vector is joined once a shuffle.
     """
-    rows = rows.select("series_id", "label", "features").persist()
+    rows = rows.select("series_id", "label", "features")
     base = accuracy(model.predict(rows)).head()["accuracy"]
-    values = rows.withColumn("_v", vector_to_array("features"))
-    slots_ = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    grid = values.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("slot", slots_)
-    by = Window.partitionBy("slot", "repeat")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "slot", "repeat", F.col("series_id").cast("string")))
-    placed = grid.withColumn("at", F.row_number().over(by.orderBy("series_id"))).withColumn("to", F.row_number().over(by.orderBy(order, "series_id")))
-    donors = placed.select("slot", "repeat", F.col("to").alias("at"), F.get("_v", F.col("slot")).alias("donated"))
-    mixed = placed.join(donors, ["slot", "repeat", "at"])
+    ids = rows.select("series_id")
+    at = ranked(ids, md5_of(seed, F.lit("at"), "series_id"), "series_id", name="at")
+    grid = rows.select("series_id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), vector_to_array("features").alias("_v"))
+    grid = grid.select("series_id", "repeat", F.posexplode("_v").alias("slot", "donated"))
+    donors = ranked(grid, md5_of(seed, "slot", "repeat", "series_id"), "series_id", "slot", "repeat", name="at").drop("series_id")
+    mixed = rows.withColumn("_v", vector_to_array("features")).join(at, "series_id").join(donors, "at")
     shuffled = mixed.withColumn("features", array_to_vector(F.transform("_v", lambda x, i: F.when(i == F.col("slot"), F.col("donated")).otherwise(x))))
     got = accuracy(model.predict(shuffled.select("series_id", "label", "features", "slot", "repeat")), "slot", "repeat")
     return got.groupBy("slot").agg(F.avg(base - F.col("accuracy")).alias("importance"), F.stddev_pop(base - F.col("accuracy")).alias("importance_std"))

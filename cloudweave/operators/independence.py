@@ -11,10 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudweave.operators.evaluate import folds
+from cloudweave.operators.ordering import md5_of, ranked
 
 
 def n_splits(n: int) -> int:
@@ -41,33 +42,42 @@ def standardised(rows: DataFrame, column: str) -> DataFrame:
     return long.join(F.broadcast(scale), ["slot", "fold"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("scale"))
 
 
-def capped_pca(rows: DataFrame, column: str, n_train: int, most: int = 20) -> DataFrame:
-    """rows with column reduced to its principal components where it is wider than min(n_train - 2, width, most)."""
-    width = rows.select(F.size(column)).head()[0]
-    cap = max(1, min(n_train - 2, width, most))
+def capped_pca(rows: DataFrame, column: str, train: Column | None = None, most: int = 20) -> DataFrame:
+    """rows with column reduced to its principal components where it is wider than min(n - 2, width, most).
+
+    Components, and n, are those of the rows where train holds (all, if it is not given).
+    """
+    fitted = rows if train is None else rows.where(train)
+    width, n = rows.select(F.size(column)).head()[0], fitted.count()
+    cap = max(1, min(n - 2, width, most))
     if width <= cap:
         return rows
-    vectors = rows.withColumn("_v", array_to_vector(column))
-    return PCA(k=cap, inputCol="_v", outputCol="_o").fit(vectors).transform(vectors).withColumn(column, vector_to_array("_o")).drop("_v", "_o")
+    vectors = lambda t: t.withColumn("_v", array_to_vector(column))
+    return PCA(k=cap, inputCol="_v", outputCol="_o").fit(vectors(fitted)).transform(vectors(rows)).withColumn(column, vector_to_array("_o")).drop("_v", "_o")
 
 
-def _moments(rows: DataFrame) -> dict[int, np.ndarray]:
-    """For each fold the sums of products of (1, x, y): small square matrices, whatever the rows."""
+def _moments(rows: DataFrame) -> dict[int, dict[int, np.ndarray]]:
+    """By replicate and fold the sums of products of (1, x, y): small square matrices, whatever the rows."""
+    keys = ["replicate", "fold"]
+    rows = rows if "replicate" in rows.columns else rows.withColumn("replicate", F.lit(0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for fold, part in batch.groupby("fold"):
+            for key, part in batch.groupby(keys):
                 m = np.column_stack([np.ones(len(part)), np.stack(part["x"].map(np.asarray)), np.stack(part["y"].map(np.asarray))])
-                sums[fold] = sums.get(fold, 0) + m.T @ m
-        yield pd.DataFrame({"fold": list(sums), "m": [s.ravel().tolist() for s in sums.values()]})
+                sums[key] = sums.get(key, 0) + m.T @ m
+        yield pd.DataFrame([(*k, s.ravel().tolist()) for k, s in sums.items()], columns=[*keys, "m"])
 
-    got = rows.select("fold", "x", "y").mapInPandas(run, "fold int, m array<double>")
-    each = got.select("fold", F.posexplode("m").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v"))
-    out: dict[int, np.ndarray] = {}
-    for r in each.groupBy("fold").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("m")).collect():
+    def total(part: pd.DataFrame) -> pd.DataFrame:
+        return part.iloc[:1].assign(m=[np.sum(np.stack(part["m"].map(np.asarray)), axis=0).tolist()])
+
+    shape = "replicate int, fold int, m array<double>"
+    found = rows.select(F.col("replicate").cast("int").alias("replicate"), "fold", "x", "y").mapInPandas(run, shape).groupBy(*keys).applyInPandas(total, shape)
+    out: dict[int, dict[int, np.ndarray]] = {}
+    for r in found.toLocalIterator():
         side = int(round(len(r["m"]) ** 0.5))
-        out[r["fold"]] = np.array(r["m"]).reshape(side, side)
+        out.setdefault(r["replicate"], {})[r["fold"]] = np.array(r["m"]).reshape(side, side)
     return out
 
 
@@ -85,54 +95,45 @@ def _standard(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mean, scale, cov / np.outer(scale, scale)
 
 
-def explained_r2(rows: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(slot, r2): for each column of x, how well a ridge on y predicts it out of sample, within 0 and 1.
+def _axes(c: np.ndarray, n: float, most: int = 20) -> np.ndarray:
+    """The leading principal axes of standardised columns where there are more than min(n - 2, most), else all columns."""
+    cap = max(1, min(int(n) - 2, len(c), most))
+    return np.eye(len(c)) if len(c) <= cap else np.linalg.eigh(c)[1][:, ::-1][:, :cap]
 
-    rows need fold. Gram matrices of the folds are summed on the executors; the solve is of the blocks' width.
-    """
-    p = rows.select(F.size("x")).head()[0]
-    sums = _moments(rows)
-    models = {}
-    for f in sums:
+
+def _r2(sums: dict[int, np.ndarray], p: int, alpha: float = 1.0) -> np.ndarray:
+    """Out-of-sample R2 of each column of x. The held-out errors follow from the fold's own sums of products."""
+    rest = np.zeros(p)
+    for f, own in sums.items():
         m = _train(sums, f)
         mean, scale, c = _standard(m)
         n = m[0, 0]
-        beta = np.linalg.solve(c[p:, p:] + alpha / n * np.eye(len(c) - p), c[p:, :p])
-        models[f] = (mean, scale, beta)
-
-    def residual(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for fold, part in batch.groupby("fold"):
-                mean, scale, beta = models[fold]
-                x, y = (np.stack(part[c].map(np.asarray)) for c in ("x", "y"))
-                guess = ((y - mean[p:]) / scale[p:]) @ beta * scale[:p] + mean[:p]
-                out.append(pd.DataFrame({"slot": np.tile(np.arange(p), len(x)), "x": x.ravel(), "e": (x - guess).ravel()}))
-            if out:
-                yield pd.concat(out)
-
-    long = rows.select("fold", "x", "y").mapInPandas(residual, "slot int, x double, e double")
-    got = long.groupBy("slot").agg(F.sum(F.col("e") * F.col("e")).alias("rest"), F.var_pop("x").alias("spread"), F.count("*").alias("n"))
-    r2 = F.when(F.col("spread") > 0, 1 - F.col("rest") / (F.col("spread") * F.col("n"))).otherwise(0.0)
-    return got.select("slot", F.least(F.greatest(r2, F.lit(0.0)), F.lit(1.0)).alias("r2"))
-
-
-def canonical_correlation(rows: DataFrame, most: int = 5) -> float:
+        v = _axes(c[p:, p:], n)
+        beta = np.linalg.solve(v.T @ c[p:, p:] @ v + alpha / n * np.eye(v.shape[1]), v.T @ c[p:, :p]) * scale[:p]
+        b = v / scale[p:, None] @ beta
+        error = np.concatenate([-(mean[:p] - mean[p:] @ b)[None], np.eye(p), -b])
+        rest += np.einsum("ij,ik,kj->j", error, own, error)
+    total = sum(sums.values())
+    n = total[0, 0]
+    spread = np.diag(total)[1 : p + 1] - total[0, 1 : p + 1] ** 2 / n
+    return np.clip(np.where(spread > 1e-12, 1 - rest / np.where(spread > 1e-12, spread, 1), 0.0), 0, 1)
+
+
+def _rho(sums: dict[int, np.ndarray], p: int, most: int = 5) -> float:
     """Mean absolute held-out correlation of the canonical pairs fitted on the other folds; 0 if there are none."""
-    p = rows.select(F.size("x")).head()[0]
-    sums = _moments(rows)
     found = []
     for f, own in sums.items():
         m = _train(sums, f)
         _, scale, c = _standard(m)
         n = m[0, 0]
-        a, b = c[:p, :p] + 1e-8 * np.eye(p), c[p:, p:] + 1e-8 * np.eye(len(c) - p)
-        k = min(most, p, len(b), int(n) - 1)
+        vx, vy = _axes(c[:p, :p], n), _axes(c[p:, p:], n)
+        a, b = (v.T @ x @ v + 1e-8 * np.eye(v.shape[1]) for v, x in ((vx, c[:p, :p]), (vy, c[p:, p:])))
+        k = min(most, len(a), len(b), int(n) - 1)
         if k < 1:
             continue
         wa, wb = np.linalg.cholesky(np.linalg.inv(a)), np.linalg.cholesky(np.linalg.inv(b))
-        u, _, v = np.linalg.svd(wa.T @ c[:p, p:] @ wb)
-        u, v = wa @ u[:, :k] / scale[:p, None], wb @ v.T[:, :k] / scale[p:, None]
+        u, _, v = np.linalg.svd(wa.T @ vx.T @ c[:p, p:] @ vy @ wb)
+        u, v = vx @ wa @ u[:, :k] / scale[:p, None], vy @ wb @ v.T[:, :k] / scale[p:, None]
         # The held-out correlation follows from the fold's own sums.
         mean = own[0, 1:] / own[0, 0]
         cov = own[1:, 1:] / own[0, 0] - np.outer(mean, mean)
@@ -142,19 +143,48 @@ def canonical_correlation(rows: DataFrame, most: int = 5) -> float:
     return float(np.mean(found)) if found else 0.0
 
 
+def _width(rows: DataFrame) -> int:
+    return rows.select(F.size("x")).head()[0]
+
+
+def explained_r2(rows: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(slot, r2): for each column of x, how well a ridge on y predicts it out of sample, within 0 and 1.
+
+    rows need fold. y is standardised, and reduced to its principal axes if it is wide, by the other folds. Sums of
+    products are made on the executors; the solve is of the blocks' width.
+    """
+    (sums,) = _moments(rows).values()
+    return rows.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(_r2(sums, _width(rows), alpha))], "slot int, r2 double")
+
+
+def canonical_correlation(rows: DataFrame, most: int = 5) -> float:
+    """Mean absolute held-out correlation of the canonical pairs fitted on the other folds; 0 if there are none."""
+    (sums,) = _moments(rows).values()
+    return _rho(sums, _width(rows), most)
+
+
+#: Metrics of dependence by name: one number for a block and its partner, larger for more.
+METRICS = {"r2": lambda sums, p: float(_r2(sums, p).mean()), "cca": _rho}
+
+
 def permuted(rows: DataFrame, repeats: int, seed: int, key: str = "row_id") -> DataFrame:
-    """(replicate, row_id, x, y): in replicate r > 0 the partner is that of another row, by md5 order; 0 is as observed.
+    """rows with replicate: in replicate r > 0 the partner y is that of another row, by md5 order; 0 is as observed.
 
-    Every replicate has all rows; places are numbered within a replicate, so replicates are independent tasks.
+    Places are given to ids alone, in parts of a replicate; the arrays are joined to them afterwards.
     """
-    from pyspark.sql import Window
+    at = ranked(rows.select(key), md5_of(seed, F.lit("at"), key), key, name="_at")
+    grid = rows.select(F.col(key).alias("_donor"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("replicate"))
+    drawn = ranked(grid, md5_of(seed, "replicate", "_donor"), "_donor", "replicate", name="_at")
+    pairs = at.join(drawn, "_at").select(key, "replicate", "_donor")
+    null = rows.drop("y").join(pairs, key).join(rows.select(F.col(key).alias("_donor"), "y"), "_donor")
+    return rows.withColumn("replicate", F.lit(0)).unionByName(null.select(*rows.columns, "replicate"))
+
 
-    grid = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
-    by = Window.partitionBy("replicate")
-    order = F.when(F.col("replicate") == 0, F.lpad(F.col(key).cast("string"), 20, "0")).otherwise(F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", F.col(key).cast("string"))))
-    placed = grid.withColumn("at", F.row_number().over(by.orderBy(key))).withColumn("to", F.row_number().over(by.orderBy(order, key)))
-    donors = placed.select("replicate", F.col("to").alias("at"), F.col("y").alias("_y"))
-    return placed.join(donors, ["replicate", "at"]).select("replicate", key, "x", F.col("_y").alias("y"))
+def null_values(rows: DataFrame, metric: str, repeats: int, seed: int) -> DataFrame:
+    """(replicate, value) of a metric of METRICS: as observed (0) and under permutations of the partner. rows need fold."""
+    p = _width(rows)
+    values = [(r, METRICS[metric](sums, p)) for r, sums in sorted(_moments(permuted(rows, repeats, seed)).items())]
+    return rows.sparkSession.createDataFrame(values, "replicate int, value double")
 
 
 def p_value(statistics: DataFrame, *group: str) -> DataFrame:
@@ -163,7 +193,7 @@ def p_value(statistics: DataFrame, *group: str) -> DataFrame:
     null = statistics.where("replicate > 0")
     if not group:  # one observed row
         observed, null = observed.withColumn("_all", F.lit(0)), null.withColumn("_all", F.lit(0))
-    joined = null.join(F.broadcast(observed), list(group) or ["_all"])
+    joined = null.join(observed, list(group) or ["_all"])
     out = joined.groupBy(*group, "observed").agg(F.avg("value").alias("null_mean"), F.count("*").alias("n"), F.count_if(F.col("value") >= F.col("observed")).alias("above"))
     return out.select(*group, F.col("observed").alias("value"), "null_mean", ((1 + F.col("above")) / (1 + F.col("n"))).alias("p_value"))
 

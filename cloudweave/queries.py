@@ -7,11 +7,13 @@ embedding; accuracy rows are shares of finished orders by nation, priority and y
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudweave.operators import barcodes, baselines, clouds, density, embedding, evaluate, features, independence, pairs, reports
@@ -39,8 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="cloudweave-")
+    """A new folder that all executors share: below spark.checkpoint.dir; a local master does with one of its own."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="cloudweave-")
     return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
@@ -110,13 +116,13 @@ def s7_weight_lookup(spark, sf_dir):
     return sinks.apply_weights(o, weights).select("series_id", "module", "class_label", r6(F.col("p") * F.col("weight")).alias("weighted"))
 
 
-@query(f"""WITH {SERIES}, keyed AS (SELECT series_id, label, sha256(array_to_string(list_transform(v, lambda x: CAST(CAST(floor(x * 1000000) AS BIGINT) AS VARCHAR)), ',')) AS key FROM series)
-SELECT min(series_id) AS series_id, key FROM keyed WHERE key NOT IN (SELECT key FROM keyed WHERE series_id % 3 = 0) GROUP BY key""")
+@query(f"""WITH {SERIES} SELECT min(series_id) AS series_id, count(DISTINCT v) AS n FROM series
+WHERE v NOT IN (SELECT v FROM series WHERE series_id % 3 = 0) GROUP BY v""")
 def s8_missing_keys(spark, sf_dir):
-    text = F.array_join(F.transform("values", lambda x: F.floor(x * 1000000).cast("long").cast("string")), ",")
-    rows = vector_series(spark, sf_dir).select("series_id", F.sha2(text, 256).alias("key"))
-    new = rows.join(rows.where("series_id % 3 = 0").select("key").distinct(), "key", "left_anti")
-    return new.groupBy("key").agg(F.min("series_id").alias("series_id")).select("series_id", "key")
+    """What the store lacks when it has a third of all series: equal values have one key."""
+    rows = vector_series(spark, sf_dir).select("series_id", F.array(F.col("values")).alias("points")).withColumn("key", sinks.content_key("points"))
+    new = sinks.missing(rows, rows.where("series_id % 3 = 0"))
+    return rows.join(new.select("key"), "key", "left_semi").groupBy("key").agg(F.min("series_id").alias("series_id"), F.lit(1).cast("long").alias("n")).select("series_id", "n")
 
 
 @query()
@@ -494,16 +500,15 @@ def g2_canonical_features(spark, sf_dir):
     return baselines.canonical(event_series(spark, sf_dir))
 
 
-@query(f"""WITH {POINTS}, e AS (SELECT series_id, j, avg(coords[j]) AS mu, var_pop(coords[j]) AS s FROM points, generate_series(1, 10) g(j) GROUP BY 1, 2)
-SELECT series_id, CAST(10 AS DOUBLE) AS n_points, round(sum(s), 5) + 0.0 AS total_variance FROM e GROUP BY 1""")
+PLANE = POINTS + ", e AS (SELECT series_id, j, var_pop(coords[j]) AS s FROM points, generate_series(1, 3) g(j) GROUP BY 1, 2)"
+
+
+@query(f"WITH {PLANE} SELECT series_id, CAST(10 AS DOUBLE) AS n_points, round(sum(s), 5) + 0.0 AS total_variance FROM e GROUP BY 1")
 def g3_cloud_statistics(spark, sf_dir):
-    """All principal axes keep the cloud's total variance; the query checks it on all of them."""
-    rows = embedding.embed(vector_series(spark, sf_dir), TAU, M, STRIDE)
-    got = baselines.cloud_statistics(rows).select("series_id", "n_points")
-    mean = F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda j: F.aggregate("points", F.lit(0.0), lambda a, p: a + F.get(p, j)) / F.size("points"))
-    spread = F.aggregate(F.sequence(F.lit(0), F.lit(M - 1)), F.lit(0.0), lambda a, j: a + F.aggregate("points", F.lit(0.0), lambda b, p: b + F.pow(F.get(p, j) - F.get("mean", j), F.lit(2))) / F.size("points"))
-    total = rows.withColumn("mean", mean).select("series_id", (F.round(spread, 5) + F.lit(0.0)).alias("total_variance"))
-    return got.join(total, "series_id")
+    """In three dimensions the three axes' variances add up to the cloud's."""
+    rows = embedding.embed(vector_series(spark, sf_dir), TAU, M, STRIDE).withColumn("points", F.transform("points", lambda p: F.slice(p, 1, 3)))
+    got = baselines.cloud_statistics(rows)
+    return got.select("series_id", "n_points", (F.round(sum(F.pow(f"std_{k}", F.lit(2)) for k in range(3)), 5) + F.lit(0.0)).alias("total_variance"))
 
 
 @query()
@@ -654,7 +659,7 @@ def blocks(spark: SparkSession, sf_dir: str, p: int = 8) -> DataFrame:
     return s.select(F.col("series_id").alias("row_id"), "label", F.slice("values", 1, p).alias("x"), F.slice("values", p + 1, 64).alias("y"))
 
 
-FOLDED = SERIES + ", folded AS (SELECT series_id AS row_id, v, CAST(CAST('0x' || substr(md5(concat('2:', series_id)), 1, 12) AS BIGINT) % greatest(2, least(5, (SELECT count(*) FROM series) // 4)) AS INTEGER) AS fold FROM series)"
+FOLDED = SERIES + ", folded AS (SELECT series_id AS row_id, v, CAST((row_number() OVER (ORDER BY md5(concat('2:', series_id)), series_id) - 1) % greatest(2, least(5, (SELECT count(*) FROM series) // 4)) AS INTEGER) AS fold FROM series)"
 
 
 @query(f"WITH {FOLDED} SELECT row_id, fold FROM folded")
@@ -689,9 +694,28 @@ def i5_canonical_correlation(spark, sf_dir):
     return blocks(spark, sf_dir).agg(F.count("*").alias("n"), F.lit(rho).alias("mean_rho"))
 
 
-NULLS = SERIES + """, g AS (SELECT r, series_id, v[1] AS x, v[9] AS y, row_number() OVER (PARTITION BY r ORDER BY series_id) AS at,
-row_number() OVER (PARTITION BY r ORDER BY CASE WHEN r = 0 THEN lpad(CAST(series_id AS VARCHAR), 20, '0') ELSE md5(concat('4:', r, ':', series_id)) END, series_id) AS too FROM series, generate_series(0, 40) s(r)),
-stat AS (SELECT a.r, round(abs(corr(a.x, b.y)), 9) AS value FROM g a JOIN g b ON a.r = b.r AND a.at = b.too GROUP BY 1)"""
+RHO = FOLDED + ", rho AS (SELECT fold, abs(corr(v[1], v[9])) AS rho FROM folded GROUP BY 1)"
+
+
+@query(f"WITH {RHO} SELECT (SELECT count(*) FROM series) AS n, round(avg(rho), 6) + 0.0 AS mean_rho FROM rho")
+def i5_canonical_correlation_single(spark, sf_dir):
+    """Of one column with one: the correlation itself, in each held-out fold."""
+    rows = blocks(spark, sf_dir).select("row_id", F.slice("x", 1, 1).alias("x"), F.slice("y", 1, 1).alias("y"))
+    rho = independence.canonical_correlation(independence.assign_folds(rows, 2))
+    return rows.agg(F.count("*").alias("n"), r6(F.lit(rho)).alias("mean_rho"))
+
+
+#: Row a of replicate r has the partner of row b: itself in replicate 0, else the row of its place in another order.
+DRAWN = """one AS (SELECT series_id, v, row_number() OVER (ORDER BY md5(concat('4:at:', series_id)), series_id) AS place FROM series),
+too AS (SELECT r, series_id, v, row_number() OVER (PARTITION BY r ORDER BY md5(concat('4:', r, ':', series_id)), series_id) AS place FROM series, generate_series(1, 40) s(r)),
+drawn AS (SELECT 0 AS r, series_id, v[1] AS x, v[9] AS y FROM series UNION ALL SELECT b.r, a.series_id, a.v[1], b.v[9] FROM one a JOIN too b USING (place))"""
+NULLS = f"{SERIES}, {DRAWN}, stat AS (SELECT r, round(abs(corr(x, y)), 9) AS value FROM drawn GROUP BY 1)"
+R2_NULLS = f"""{FOLDED}, {DRAWN}, d AS (SELECT r, x, y, fold FROM drawn JOIN folded ON row_id = series_id),
+s AS (SELECT r, fold, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy FROM d GROUP BY 1, 2),
+t AS (SELECT r, sum(n) AS n, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(yy) AS yy, sum(xy) AS xy FROM s GROUP BY 1),
+k AS (SELECT s.r, fold, t.n - s.n AS n, (t.x - s.x) / (t.n - s.n) AS mx, (t.y - s.y) / (t.n - s.n) AS my, (t.xy - s.xy) / (t.n - s.n) AS xy, (t.yy - s.yy) / (t.n - s.n) AS yy FROM s JOIN t USING (r)),
+e AS (SELECT r, x, x - mx - (xy - mx * my) / (yy - my * my) / (1 + 1.0 / n) * (y - my) AS e FROM d JOIN k USING (r, fold)),
+stat AS (SELECT r, round(least(greatest(1 - sum(e * e) / (var_pop(x) * count(*)), 0.0), 1.0), 9) AS value FROM e GROUP BY 1)"""
 
 
 @query(f"""WITH {NULLS} SELECT round(o.value, 6) + 0.0 AS value, round(avg(s.value), 6) + 0.0 AS null_mean, round((1 + count(*) FILTER (s.value >= o.value)) / (1 + count(*)), 6) + 0.0 AS p_value
@@ -703,6 +727,24 @@ def i6_permutation_null(spark, sf_dir):
     return independence.p_value(stat).select(*(r6(c).alias(c) for c in ("value", "null_mean", "p_value")))
 
 
+@query(f"""WITH {R2_NULLS} SELECT round(o.value, 6) + 0.0 AS value, round(avg(s.value), 6) + 0.0 AS null_mean, round((1 + count(*) FILTER (s.value >= o.value)) / (1 + count(*)), 6) + 0.0 AS p_value
+FROM stat s, (SELECT value FROM stat WHERE r = 0) o WHERE s.r > 0 GROUP BY o.value""")
+def i6_null_of_r2(spark, sf_dir):
+    rows = blocks(spark, sf_dir).select("row_id", F.slice("x", 1, 1).alias("x"), F.slice("y", 1, 1).alias("y"))
+    stat = independence.null_values(independence.assign_folds(rows, 2), "r2", 40, 4).withColumn("value", F.round("value", 9))
+    return independence.p_value(stat).select(*(r6(c).alias(c) for c in ("value", "null_mean", "p_value")))
+
+
+@query()
+def i6_nulls_of_blocks(spark, sf_dir):
+    """Both metrics of whole blocks, the wide partner reduced to its principal axes within each fold."""
+    rows, out = independence.assign_folds(blocks(spark, sf_dir).select("row_id", "x", "y"), 2), None
+    for name in independence.METRICS:
+        row = independence.p_value(independence.null_values(rows, name, 10, 4)).withColumn("metric", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(f"""WITH {ACC} SELECT dataset, method AS block, dataset_type AS partner, 'r2' AS metric, round(avg(holdout_accuracy), 6) + 0.0 AS value, round(avg(holdout_accuracy / 2), 6) + 0.0 AS null_mean, round(median(holdout_accuracy * holdout_accuracy), 6) + 0.0 AS p_value FROM acc GROUP BY 1, 2, 3""")
 def i7_over_seeds(spark, sf_dir):
     a = F.col("holdout_accuracy")
@@ -713,15 +755,15 @@ def i7_over_seeds(spark, sf_dir):
 
 
 
-# --- Helpers' operators: no SQL; tests hold them against brute force ---
+# --- Operators that SQL expresses in part or not at all; tests hold the helpers of the barcodes against brute force ---
 
 
-def small_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def small_clouds(spark: SparkSession, sf_dir: str, sizes: clouds.Sizes = clouds.Sizes()) -> DataFrame:
     """(pair keys, points, class_points): each series' cloud with each class's default subcloud."""
     s = vector_series(spark, sf_dir)
     own = clouds.series_clouds(embedding.embed(s, TAU, M, STRIDE), clouds.Sizes(1.0, 5, 500, 30))
     pool = clouds.pooled(own)
-    sub = clouds.gathered(clouds.subclouds(pool, clouds.class_sizes(pool, clouds.Sizes())), "label", "exclude_series")
+    sub = clouds.gathered(clouds.subclouds(pool, clouds.class_sizes(pool, sizes)), "label", "exclude_series")
     classes = [r[0] for r in s.select("label").distinct().orderBy("label").collect()]
     base = pairs.class_pairs(s.select("series_id", "label"), classes)
     return pairs.with_subclouds(base, sub).join(own.select("series_id", "points"), "series_id")
@@ -731,7 +773,7 @@ def small_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_embedding_search(spark, sf_dir):
     """The parameters found on all series, with each user's number of points under them."""
     s = event_series(spark, sf_dir)
-    tau, m, stride = embedding.search(s, 6, 6, sample=200)
+    tau, m, stride = embedding.search(s, 6, 6, sample=None)
     return s.select("series_id", F.lit(tau).alias("tau"), F.lit(m).alias("m"), F.lit(stride).alias("stride"), embedding.n_points(F.size("values"), tau, m, stride).alias("n_points"))
 
 
@@ -741,6 +783,31 @@ def p5_projection(spark, sf_dir):
     return rows.select("series_id", F.posexplode(embedding.Projection.fit(rows)("points")).alias("point_idx", "coords"))
 
 
+@query(f"""WITH {POINTS}, mu AS (SELECT j, avg(coords[j]) AS mu FROM points, generate_series(1, 10) g(j) GROUP BY 1)
+SELECT series_id, round(sum((coords[j] - mu) * (coords[j] - mu)), 5) + 0.0 AS spread FROM points, mu GROUP BY 1""")
+def p5_projection_on_all_axes(spark, sf_dir):
+    """All axes keep each point's distance from the mean."""
+    rows = embedding.embed(vector_series(spark, sf_dir), TAU, M, STRIDE)
+    square = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x * x)
+    spread = F.aggregate(embedding.Projection.fit(rows, M)("points"), F.lit(0.0), lambda a, p: a + square(p))
+    return rows.select("series_id", (F.round(spread, 5) + F.lit(0.0)).alias("spread"))
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT label, coords FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY series_id) AS r FROM points WHERE point_idx = 0) WHERE r <= 5)
+SELECT series_id, c.label AS class_label, 1::BIGINT AS n_bars, round(min(sqrt(list_sum(list_transform(generate_series(1, 10), lambda j: (p.coords[j] - c.coords[j]) * (p.coords[j] - c.coords[j]))))), 6) + 0.0 AS death
+FROM points p, c WHERE p.point_idx = 0 GROUP BY 1, 2 HAVING min(list_sum(list_transform(generate_series(1, 10), lambda j: abs(p.coords[j] - c.coords[j])))) > 0""")
+def x1_single_points(spark, sf_dir):
+    """A cloud of one point has one bar: its distance from the nearest point of the class, unless it is one of them."""
+    rows = embedding.embed(vector_series(spark, sf_dir), TAU, M, STRIDE).select("series_id", "label", F.slice("points", 1, 1).alias("points"))
+    first = F.row_number().over(Window.partitionBy("label").orderBy("series_id"))
+    classes = rows.withColumn("_r", first).where("_r <= 5").groupBy(F.col("label").alias("class_label")).agg(F.flatten(F.collect_list("points")).alias("class_points"))
+    labels = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]
+    met = pairs.class_pairs(rows, labels, training=False).join(classes, "class_label").join(rows.select("series_id", "points"), "series_id")
+    got = barcodes.cross_barcodes(met, ["series_id", "class_label"])
+    bars = got.select("series_id", "class_label", F.explode("bars").alias("b")).where("b.direction = 'qc'")
+    return bars.groupBy("series_id", "class_label").agg(F.count("*").alias("n_bars"), r6(F.max("b.death")).alias("death"))
+
+
 @query()
 def t2_maxmin_subsample(spark, sf_dir):
     rows = embedding.embed(event_series(spark, sf_dir), 2, 3, 1)
@@ -755,7 +822,8 @@ def x1_cross_barcodes_h0(spark, sf_dir):
 
 @query()
 def x2_cross_barcodes_h1(spark, sf_dir):
-    got = barcodes.cross_barcodes(small_clouds(spark, sf_dir), ["series_id", "class_label"], True, 16)
+    """Class clouds of 20 points, so that the loops of every cloud are exact."""
+    got = barcodes.cross_barcodes(small_clouds(spark, sf_dir, clouds.Sizes(most=20)), ["series_id", "class_label"], True, 20)
     return barcodes.slots(got, ["series_id", "class_label"], (1,)).select("series_id", "class_label", "direction", F.size("bars").alias("n_bars"), F.aggregate("bars", F.lit(0.0), lambda a, b: a + b["death"] - b["birth"]).alias("total"))
 
 
@@ -792,11 +860,38 @@ def e1_forest(spark, sf_dir):
     return evaluate.Classifier(evaluate.random_forest(50, 8)).fit(train).predict(test).select("series_id", "label", "prediction", "proba")
 
 
+def _methods(spark: SparkSession) -> experiments.Methods:
+    """Class-comparison features, fitted to the training series alone, and a generator that looks at one series."""
+
+    def make(train: DataFrame, test: DataFrame, seed: int) -> dict[str, tuple[DataFrame, DataFrame]]:
+        own = experiments.cloud_vectors(train, test, replace(class_features.QUICK, seed=seed), work_dir(spark))
+        return {"classes": own, "signature": (experiments.vectors(train, ["signature"]), experiments.vectors(test, ["signature"]))}
+
+    return make
+
+
 @query()
 def e4_cross_validation(spark, sf_dir):
-    rows = evaluate.folds(experiments.vectors(vector_series(spark, sf_dir), ["statistics", "signature"]), 3, 1, "series_id", "label").persist()
-    made = {f: (rows.where(F.col("fold") != f).drop("fold"), rows.where(F.col("fold") == f).drop("fold")) for f in range(3)}
-    return evaluate.cross_validate(made, evaluate.random_forest(20, 6))
+    return experiments.cross_validation(vector_series(spark, sf_dir), _methods(spark), evaluate.random_forest(20, 6), 3, 1)
+
+
+@query()
+def e5_out_of_fold_classes(spark, sf_dir):
+    """Out-of-fold probabilities of the class features, and the summary that follows: fused, stacked, boosted."""
+    train, _ = _split(vector_series(spark, sf_dir))
+    proba_ = experiments.out_of_fold(train, _methods(spark), evaluate.random_forest(20, 6), 2, 1)
+    path = f"{work_dir(spark)}/proba"
+    sinks.append_split(proba_.withColumn("dataset", F.lit("vectors")).withColumn("seed", F.lit(1)), path)
+    rows = spark.read.parquet(path).drop("dataset", "seed")
+    modules = ["classes", "signature"]
+    out = experiments.fusion(rows, modules, ["series_id"])
+    classes = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]
+    stacked = evaluate.stacking_matrix(rows, ["series_id", "label"], modules, classes)
+    a, b = stacked.where("series_id % 2 = 0"), stacked.where("series_id % 2 = 1")
+    for name, learner in (("logistic", evaluate.logistic(50)), ("boosted", evaluate.boosted(2, 3))):
+        got = evaluate.stack(a, b, [f"p_{m}_{c}" for m in modules for c in classes], learner)
+        out = out.unionByName(evaluate.accuracy(got).select(F.lit(name).alias("fusion"), "accuracy"))
+    return out
 
 
 def _out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -841,7 +936,13 @@ def e14_experiment_grid(spark, sf_dir):
     def methods(a: DataFrame, b: DataFrame, seed: int) -> dict[str, tuple[DataFrame, DataFrame]]:
         return {n: (experiments.vectors(a, [n]), experiments.vectors(b, [n])) for n in ("statistics", "signature")}
 
-    return experiments.grid({"vectors": (train, test)}, [0, 1], methods, trees=20)
+    return experiments.grid({"vectors": (train, test)}, [0, 1], methods, trees=20, k=2)
+
+
+@query()
+def e14_class_grid(spark, sf_dir):
+    train, test = _split(vector_series(spark, sf_dir))
+    return experiments.grid({"vectors": (train, test)}, [0], _methods(spark), trees=20, k=2)
 
 
 @query()
@@ -851,5 +952,5 @@ def e14_fusion(spark, sf_dir):
 
 @query()
 def i3_capped_components(spark, sf_dir):
-    rows = blocks(spark, sf_dir)
-    return independence.capped_pca(rows, "y", rows.count()).select("row_id", F.posexplode("y").alias("slot", "value"))
+    rows = independence.assign_folds(blocks(spark, sf_dir), 2)
+    return independence.capped_pca(rows, "y", F.col("fold") != 0).select("row_id", F.posexplode("y").alias("slot", "value"))

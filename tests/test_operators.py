@@ -1,8 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudweave.operators import barcodes, baselines, clouds, density, embedding, evaluate, features, independence, reports
+from cloudweave.operators import barcodes, baselines, clouds, density, embedding, evaluate, features, independence, ordering, reports
 from cloudweave.plans import class_features, experiments
 from cloudweave.sources import series as sources
 from cloudweave.sources import sinks
@@ -191,10 +193,58 @@ def test_independence(spark):
     r2 = {r.slot: r.r2 for r in independence.explained_r2(folded).collect()}
     assert r2[0] > 0.9 and r2[1] < 0.2
     assert independence.canonical_correlation(folded) > 0.4
-    assert independence.capped_pca(rows, "y", 4).select(F.size("y")).head()[0] == 2
+    assert independence.capped_pca(rows, "y", F.col("row_id") < 4).select(F.size("y")).head()[0] == 2
     assert independence.n_splits(3) == 2 and independence.n_splits(100) == 5
     stat = independence.permuted(rows, 19, 1).groupBy("replicate").agg(F.abs(F.corr(F.get("x", F.lit(0)), F.get("y", F.lit(1)))).alias("value"))
     assert independence.p_value(stat).head().p_value == 0.05
+    sizes = [r["count"] for r in folded.groupBy("fold").count().collect()]
+    assert max(sizes) - min(sizes) <= 1
+    for metric in independence.METRICS:
+        got = independence.p_value(independence.null_values(folded, metric, 19, 1)).head()
+        assert got.p_value == 0.05 and got.value > got.null_mean
+
+
+def test_r2_equals_a_plain_ridge(spark):
+    """With a wide partner, reduced to 20 axes by the training folds."""
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(90, 30)) @ rng.normal(size=(30, 30))
+    x = y[:, :2] + rng.normal(size=(90, 2))
+    rows = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "row_id long, x array<double>, y array<double>")
+    folded = independence.assign_folds(rows, 3)
+    fold = np.array([r.fold for r in folded.orderBy("row_id").collect()])
+    guess = np.zeros_like(x)
+    for f in range(5):
+        a, b = fold != f, fold == f
+        mean, scale = y[a].mean(0), y[a].std(0)
+        z, t = (y[a] - mean) / scale, (y[b] - mean) / scale
+        axes = np.linalg.svd(z, full_matrices=False)[2][:20].T
+        z, t = z @ axes, t @ axes
+        beta = np.linalg.solve(z.T @ z + np.eye(20), z.T @ (x[a] - x[a].mean(0)))
+        guess[b] = t @ beta + x[a].mean(0)
+    want = np.clip(1 - ((x - guess) ** 2).sum(0) / ((x - x.mean(0)) ** 2).sum(0), 0, 1)
+    assert np.allclose([r.r2 for r in independence.explained_r2(folded).orderBy("slot").collect()], want)
+
+
+def test_places_equal_a_window(spark):
+    rows = spark.range(500).select(F.col("id"), F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 2).alias("g"))
+    got = ordering.ranked(rows, ordering.md5_of(1, "id"), "id", "g").collect()
+    for g in {r.g for r in got}:
+        own = sorted((hashlib.md5(f"1:{r.id}".encode()).hexdigest(), r.id, r["rank"]) for r in got if r.g == g)
+        assert [x[2] for x in own] == list(range(1, len(own) + 1))
+
+
+def test_features_are_fitted_within_folds(spark, sines, tmp_path):
+    """With shuffled labels the accuracy stays at chance, since no held-out series is in its class's cloud."""
+    mixed = sines.withColumn("label", F.pmod(F.xxhash64("series_id"), F.lit(2)).cast("int"))
+    made = iter(range(100))
+
+    def methods(train, test, seed):
+        assert train.join(test, "series_id").count() == 0
+        return {"classes": experiments.cloud_vectors(train, test, class_features.QUICK, str(tmp_path / str(next(made))))}
+
+    for rows, low, high in ((mixed, 0.2, 0.75), (sines, 0.85, 1.01)):
+        got = experiments.cross_validation(rows, methods, evaluate.random_forest(10, 4), 2, 1).agg(F.avg("accuracy")).head()[0]
+        assert low <= got < high
 
 
 def test_importances(spark):

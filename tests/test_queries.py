@@ -30,7 +30,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert ordered(map(tuple, got.select(*(f"`{c}`" for c in columns)).collect())) == ordered(want.project(",".join(f'"{c}"' for c in columns)).fetchall())
 
 
-@pytest.mark.parametrize("name", ["p4_embedding_search", "p5_projection", "t2_maxmin_subsample", "x1_cross_barcodes_h0", "e14_fusion", "i4_explained_r2", "g1_spectrum", "g2_canonical_features"])
+@pytest.mark.parametrize("name", ["p4_embedding_search", "p5_projection", "t2_maxmin_subsample", "x1_cross_barcodes_h0", "e14_fusion", "i3_capped_components", "i4_explained_r2", "i6_nulls_of_blocks", "g1_spectrum", "g2_canonical_features"])
 def test_query_runs(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
 
