@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace text, a series a line: the label, then the values. series_id numbers lines by their hash order.
+    """Whitespace text, a series a line: the label, then the values. series_id is a hash of file and line: equal lines of a file share it.
 
     Adds split: TRAIN or TEST where the file's name ends so (before .txt), else null.
     """
