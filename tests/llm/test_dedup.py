@@ -158,6 +158,9 @@ def test_compact_windows_equal_their_definition():
             if b - a + 1 >= least:
                 want.append((a, k, b))
         assert list(zip(left.tolist(), c.tolist(), right.tolist())) == want
+        firsts = np.array([0, 0, 7, 7, 30, 60])
+        parts = [np.stack(passages.compact_windows(h[i:j], least)) + i for i, j in zip(firsts[:-1], firsts[1:])]
+        assert np.array_equal(np.stack(passages.compact_windows(h, least, firsts)), np.concatenate(parts, 1))
 
 
 def test_passages_that_repeat_are_found(spark):
@@ -201,3 +204,15 @@ def test_runs_of_equal_shingles(monkeypatch):
                         n += 1
                     want.add((i, k, n))
         assert set(zip(*(c.tolist() for c in passages._runs(x, y)))) == want
+
+
+def test_seeds_left_out_change_nothing(monkeypatch):
+    """Texts of phrases that repeat: runs that cannot grow are left out without loss."""
+    rng = np.random.default_rng(11)
+    phrases = [rng.integers(0, 10**6, int(rng.integers(8, 60))).astype(np.uint32) for _ in range(6)]
+    for _ in range(30):
+        x, y = (np.concatenate([c for _ in range(12) for c in (phrases[rng.integers(6)], rng.integers(0, 10**6, int(rng.integers(0, 9))).astype(np.uint32))]) for _ in range(2))
+        monkeypatch.setattr(passages, "FEW", 10**9)
+        want = passages.same_passages(x, y)
+        monkeypatch.setattr(passages, "FEW", 0)
+        assert passages.same_passages(x, y) == want
