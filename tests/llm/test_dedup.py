@@ -176,6 +176,48 @@ def test_passages_that_repeat_are_found(spark):
     assert all(r.start >= 95 and r.similarity >= 0.75 for r in got)
 
 
+def test_long_lists_are_dealt_in_parts(spark):
+    """Every window stays, the parts of a list are joined again, and all documents of a passage remain linked."""
+    fill = lambda n: [f"f{rng.randrange(10**7)}" for _ in range(n)]
+    rng = random.Random(7)
+    passage = fill(70)
+    docs = spark.createDataFrame([(i, " ".join(fill(60) + passage + fill(60))) for i in range(40)], "doc_id long, text string")
+    tokens, parts = hot = passages._hot(docs, 8, 1)
+    assert len(tokens) and parts.max() == 5 and (np.diff(tokens) > 0).all()
+    whole, dealt = passages.windows(docs), passages.windows(docs, hot, 4)
+    assert sorted(dealt.where("part >= 0").drop("part").collect()) == sorted(whole.drop("part").collect())
+    assert {r.part for r in dealt.select("part").distinct().collect()} >= {-1, 0, 1, 2, 3, 4}
+    for near in (1, 2):
+        links = passages._links(passages.windows(docs, hot, 2), near).select("a", "b", "token").collect()
+        assert all(r.a > r.b for r in links)
+        for token in {r.token for r in links if r.token in set(tokens.tolist())}:
+            group = {i: i for i in range(40)}
+            for r in links:
+                if r.token == token:
+                    low, high = sorted((group[r.a], group[r.b]))
+                    group = {k: low if v == high else v for k, v in group.items()}
+            assert len({group[r.doc_id] for r in whole.where(F.col("token") == token).collect()}) == 1
+
+
+def test_recall_of_changed_passages(spark):
+    """Of passages that differ in places but keep a similarity of 0.75 over 46 shingles, nine of ten are found or more."""
+    rng = random.Random(9)
+    fill = lambda n: [f"f{rng.randrange(10**7)}" for _ in range(n)]
+    rows, wanted = [], set()
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(120):
+        passage = fill(rng.randrange(55, 200))
+        other = list(passage)
+        for _ in range(rng.randrange(0, len(passage) // 30 + 1)):
+            other[rng.randrange(len(other))] = fill(1)[0]
+        if 100 * len(shingles(passage) & shingles(other)) >= 75 * len(shingles(passage) | shingles(other)):
+            wanted.add((2 * k + 1, 2 * k))
+        rows += [(2 * k, " ".join(fill(rng.randrange(300)) + passage + fill(rng.randrange(300)))), (2 * k + 1, " ".join(fill(rng.randrange(300)) + other + fill(rng.randrange(300))))]
+    got = {(r.doc_id, r.other_id) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(wanted) > 80 and len(wanted & got) >= 0.95 * len(wanted), (len(wanted), len(wanted & got))
+    assert all(a == b + 1 and b % 2 == 0 for a, b in got)
+
+
 def test_passages_with_repeated_phrases():
     """A shingle of the passage stands elsewhere in the other text too, or the passage stands there twice."""
     own = np.arange(1000, 1070).astype(np.uint32)
