@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy step holds.
 CHUNK_BYTES = 1 << 20
+#: Spark's setting by which a query's shuffle files are deleted once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -45,10 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives executors.
+
+    The write's shuffle files, which nothing reads again, go when it ends; the session's setting is put back.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
