@@ -144,10 +144,13 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return h
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of the words of all rows, and for each row the number of its first word (n + 1)."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the words of all rows, and for each row the number of its first word (n + 1).
+
+    space tells for each byte whether it stands between words.
+    """
     n = int(offsets[-1])
-    inside = ~_SPACE[buf[: n + 1]]
+    inside = ~space[buf[: n + 1]]
     inside[n] = False
     begin = inside[:n].copy()
     begin[1:] &= ~inside[: n - 1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudweave.llm import bins, fingerprints, jaccard, packing, passages, pieces, quality, secret_scan, substrings, topk
+from cloudweave.llm import bins, fingerprints, jaccard, packing, passages, pieces, quality, resampling, secret_scan, substrings, topk
 from cloudweave.llm.common import documents
 
 
@@ -55,6 +55,10 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,12 +66,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array_dedup, op2_secret_scan, op3_packing, op4_top_k, op5_compact_windows, op6_jaccard_join, op7_fingerprints, op8_id_matrices, op9_quality, op10_sentence_pieces, pipeline)
+    found = (op1_suffix_array_dedup, op2_secret_scan, op3_packing, op4_top_k, op5_compact_windows, op6_jaccard_join, op7_fingerprints, op8_id_matrices, op9_quality, op10_sentence_pieces, op11_importance_resampling, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": TOP_K_SQL, "op6_jaccard_join": JACCARD_SQL}
+    return {"op4_top_k": TOP_K_SQL, "op6_jaccard_join": JACCARD_SQL, "op11_importance_resampling": RESAMPLING_SQL}
 
 
 TOP_K_SQL = """
@@ -105,3 +109,28 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY 1) c ON c.doc_id = d.doc_id
 """
+
+RESAMPLING_SQL = rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS k, doc_id, part, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT doc_id, text, 1 AS part FROM documents UNION ALL SELECT NULL, text, 2 FROM benchmark)
+), features AS (
+  SELECT k, doc_id, part, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')))) AS f FROM words
+), hashed AS (
+  SELECT f, CAST(xor(4294967295, list_reduce(list_transform(generate_series(1, 2 * octet_length(encode(f)) - 1, 2), lambda i: CAST('0x' || substr(hex(encode(f)), i, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, ({[*map(int, resampling.byte_crcs())]})[xor(c, b) % 256 + 1]), CAST(4294967295 AS BIGINT))) AS BIGINT) % {resampling.BUCKETS} AS bucket
+  FROM (SELECT DISTINCT f FROM features)
+), placed AS (SELECT k, part, bucket FROM features JOIN hashed USING (f)
+), counts AS (SELECT b AS bucket, count(bucket) FILTER (part = 1) AS s, count(bucket) FILTER (part = 2) AS t FROM range({resampling.BUCKETS}) r(b) LEFT JOIN placed ON bucket = b GROUP BY b
+), gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + {resampling.BUCKETS}) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + {resampling.BUCKETS})))) AS BIGINT) AS gain FROM counts
+), weights AS (SELECT k, count(*) AS n, sum(gain) AS weight FROM placed JOIN gains USING (bucket) WHERE part = 1 GROUP BY k
+), scored AS (
+  SELECT w.k, doc_id, len(w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resampling.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words w LEFT JOIN weights x ON w.k = x.k WHERE part = 1
+), drawn AS (
+  SELECT k, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank FROM scored WHERE words >= {resampling.LEAST_WORDS} AND doc_id IS NOT NULL
+  QUALIFY rank <= {resampling.PER_CENT} * (count(*) OVER ()) // 100
+)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (k)
+"""
