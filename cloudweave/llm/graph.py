@@ -16,7 +16,7 @@ from cloudweave.llm.common import discard, materialize
 HELD = 1 << 19
 
 
-def _contract(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
     """Edges from each id to the smallest that the edges of this run reach: the same components, shorter paths."""
 
     def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -56,7 +56,7 @@ def components(edges: DataFrame, held: int = HELD) -> DataFrame:
     Steps end when a pass changes no edge; their number grows with the logarithm of the longest path.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    e = materialize(e.mapInArrow(lambda batches: _contract(batches, held), "a long, b long"))
+    e = materialize(e.mapInArrow(lambda batches: contract(batches, held), "a long, b long"))
     seen = _digest(e)
     while True:
         before = e
