@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudweave.llm import bins, fingerprints, jaccard, packing, passages, pieces, quality, resampling, secret_scan, simhash, substrings, topk
+from cloudweave.llm import bins, fingerprints, jaccard, packing, passages, pieces, quality, resampling, secret_scan, simhash, substrings, topk, whitening
 from cloudweave.llm.common import documents
 
 
@@ -63,6 +63,10 @@ def op12_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array_dedup, op2_secret_scan, op3_packing, op4_top_k, op5_compact_windows, op6_jaccard_join, op7_fingerprints, op8_id_matrices, op9_quality, op10_sentence_pieces, op11_importance_resampling, op12_simhash_golay, pipeline)
+    found = (op1_suffix_array_dedup, op2_secret_scan, op3_packing, op4_top_k, op5_compact_windows, op6_jaccard_join, op7_fingerprints, op8_id_matrices, op9_quality, op10_sentence_pieces, op11_importance_resampling, op12_simhash_golay, op13_whitening, pipeline)
     return {f.__name__: f for f in found}
 
 
