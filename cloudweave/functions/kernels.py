@@ -24,7 +24,7 @@ def farthest_points(points: np.ndarray, size: int, first: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def _tree_edges(dist: np.ndarray) -> np.ndarray:
+def tree_edges(dist: np.ndarray) -> np.ndarray:
     """(n - 1, 3): the ends and length of the edges of a minimum spanning tree (Prim, a row of distances a step)."""
     n = len(dist)
     best, parent, inside = dist[0].copy(), np.zeros(n, int), np.zeros(n, bool)
@@ -39,7 +39,7 @@ def _tree_edges(dist: np.ndarray) -> np.ndarray:
     return np.array(out).reshape(-1, 3)
 
 
-class _Sets:
+class Sets:
     def __init__(self, n: int):
         self.up = list(range(n))
 
@@ -57,7 +57,7 @@ class _Sets:
 
 def kept_tree(points: np.ndarray) -> np.ndarray:
     """The tree of a kept cloud alone; made once, it serves every pair that the cloud is in."""
-    return _tree_edges(distances(points, points)) if len(points) > 1 else np.zeros((0, 3))
+    return tree_edges(distances(points, points)) if len(points) > 1 else np.zeros((0, 3))
 
 
 def cross_h0(tree: np.ndarray, kept: np.ndarray, collapsed: np.ndarray) -> np.ndarray:
@@ -74,64 +74,11 @@ def cross_h0(tree: np.ndarray, kept: np.ndarray, collapsed: np.ndarray) -> np.nd
     order = np.argsort(length, kind="stable")
     left = np.concatenate([tree[:, 0].astype(int), np.arange(n)])[order].tolist()
     right = np.concatenate([tree[:, 1].astype(int), np.full(n, n)])[order].tolist()
-    sets = _Sets(n + 1)
+    sets = Sets(n + 1)
     out = length[order][[sets.join(i, j) for i, j in zip(left, right, strict=True)]]
     return out[out > 0]
 
 
-def cone_values(kept: np.ndarray, collapsed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entry values of the edges on the cloud and the star (n + 1 square), and of the triangles with the star."""
-    to_star = distances(kept, collapsed)
-    n = len(kept)
-    edge = np.zeros((n + 1, n + 1))
-    edge[:n, :n] = distances(kept, kept)
-    edge[:n, n] = edge[n, :n] = to_star.min(1)
-    fill = np.full((n, n), np.inf)
-    for a in range(0, to_star.shape[1], 64):
-        part = to_star[:, a : a + 64]
-        fill = np.minimum(fill, np.maximum(part[:, None, :], part[None, :, :]).min(-1))
-    return edge, np.maximum(edge[:n, :n], fill)
-
-
-def cross_h1(kept: np.ndarray, collapsed: np.ndarray) -> np.ndarray:
-    """(birth, death) of the H1 bars: those of the cone complex, whose triangles with the star enter late.
-
-    Columns of triangles are reduced modulo 2 in order of entry, each as a set of edge numbers.
-    """
-    n = len(kept)
-    if n < 2 or not len(collapsed):
-        return np.zeros((0, 2))
-    edge, fill = cone_values(kept, collapsed)
-    i, j = np.triu_indices(n + 1, 1)
-    order = np.argsort(edge[i, j], kind="stable")
-    number = np.zeros((n + 1, n + 1), int)
-    number[i[order], j[order]] = number[j[order], i[order]] = np.arange(len(order))
-    value = edge[i[order], j[order]]
-    sets = _Sets(n + 1)
-    makes_loop = np.array([not sets.join(int(a), int(b)) for a, b in zip(i[order], j[order], strict=True)])
-    a, b, c = (np.array(x) for x in zip(*((a, b, c) for a in range(n + 1) for b in range(a + 1, n + 1) for c in range(b + 1, n + 1)), strict=True)) if n > 1 else (np.zeros(0, int),) * 3
-    enter = np.where(c == n, fill[a, np.minimum(b, n - 1)], np.maximum(np.maximum(edge[a, b], edge[a, c]), edge[b, c]))
-    columns = np.sort(np.stack([number[a, b], number[a, c], number[b, c]], 1), 1)
-    seq = np.lexsort((columns[:, 2], enter))
-    low: dict[int, set[int]] = {}
-    wanted = int(makes_loop.sum())
-    bars = []
-    for t in seq.tolist():
-        column = set(columns[t].tolist())
-        top = int(columns[t, 2])
-        while column and top in low:
-            column ^= low[top]
-            top = max(column) if column else -1
-        if column:
-            low[top] = column
-            if enter[t] > value[top]:
-                bars.append((value[top], enter[t]))
-            wanted -= 1
-            if not wanted:
-                break
-    return np.array(bars).reshape(-1, 2)
-
-
 def kde_tail(sample: np.ndarray, values: np.ndarray, grid: int = 512) -> np.ndarray:
     """Upper tail of each value under the density of sample and its mirror image (Gaussian kernels, Scott's width).
 
@@ -161,6 +108,17 @@ def kde_tail(sample: np.ndarray, values: np.ndarray, grid: int = 512) -> np.ndar
     return np.clip(out, 0, 1)
 
 
+def beyond_tail(values: np.ndarray, weights: np.ndarray, width: float, at: float, grid: int = 512) -> float:
+    """The tail of kde_tail for a value beyond the sample, given as values and weights: the grid reaches a fifth beyond it."""
+    steps = np.linspace(0, 1.2 * at + 1e-6, grid)
+    total = np.zeros(grid)
+    for a in range(0, len(values), 1024):
+        x, w = values[a : a + 1024], weights[a : a + 1024]
+        total += (np.exp(-0.5 * ((steps[:, None] - x) / width) ** 2) + np.exp(-0.5 * ((steps[:, None] + x) / width) ** 2)) @ w
+    i = int(np.searchsorted(steps, at, "left"))
+    return float(np.clip(1 - total[:i].sum() / total.sum(), 0, 1)) if i and total.sum() > 0 else 1.0
+
+
 def mutual_information(x: np.ndarray, lag: int, bins: int = 16) -> float:
     counts = np.histogram2d(x[:-lag], x[lag:], bins=bins)[0]
     p = counts / counts.sum()

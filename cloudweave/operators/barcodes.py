@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudweave.functions import kernels
+from cloudweave.functions import loops as loops_
 
 LIMIT = 1e6
 REPS = ("mtd", "total_persistence", "pers_entropy", "landscape_l2", "betti_0", "betti_1", "betti_2")
@@ -30,50 +31,112 @@ def _clouds(column: pa.Array) -> list[np.ndarray]:
     return [flat[at[i] : at[j]].reshape(j - i, -1) if j > i else np.zeros((0, 1)) for i, j in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
 
 
-def cross_barcodes(pairs: DataFrame, keys: list[str], loops: bool = False, max_h1_points: int = 48) -> DataFrame:
+_BARS = "array<struct<direction:string,hom_dim:int,birth:double,death:double>>"
+_DIRECTIONS = ("qc", "cq")
+#: Kept clouds whose own part a task holds, latest first.
+HELD = 16
+
+
+class _Bars:
+    """Bars of pairs, gathered for one batch; what a kept cloud needs alone is made once and held for the next pairs."""
+
+    def __init__(self, loops: bool):
+        self.loops = loops
+        self.made: dict[bytes, loops_.Kept | np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.counts: list[int] = []
+        self.columns: tuple[list, list, list, list] = ([], [], [], [])
+
+    def _alone(self, kept: np.ndarray) -> loops_.Kept | np.ndarray:
+        key = kept.tobytes()
+        found = self.made.pop(key, None)
+        if found is None:
+            found = loops_.Kept(kept) if self.loops else kernels.kept_tree(kept)
+            if len(self.made) >= HELD:
+                self.made.pop(next(iter(self.made)))
+        self.made[key] = found
+        return found
+
+    def add(self, a: np.ndarray, b: np.ndarray, directions: tuple[str, ...] = _DIRECTIONS) -> None:
+        """The pair of a query's cloud and a class's. A pair without points on a side has no bars."""
+        total = 0
+        for code, kept, other in ((0, a, b), (1, b, a)):
+            if not len(kept) or not len(other) or _DIRECTIONS[code] not in directions:
+                continue
+            alone = self._alone(kept)
+            h0 = kernels.cross_h0(alone.tree if self.loops else alone, kept, other)
+            found = [(0, np.zeros(len(h0)), h0)]
+            if self.loops:
+                found.append((1, *loops_.cross_h1(alone, other).T))
+            for dim, birth, death in found:
+                total += len(birth)
+                for column, values in zip(self.columns, (np.full(len(birth), code, np.int8), np.full(len(birth), dim, np.int32), birth, death), strict=True):
+                    column.append(values)
+        self.counts.append(total)
+
+    def take(self) -> pa.Array:
+        """The bars of all pairs added since the last call, a list for each."""
+        codes, dims, births, deaths = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(self.columns, (np.int8, np.int32, float, float), strict=True))
+        names = pa.DictionaryArray.from_arrays(pa.array(codes), pa.array(_DIRECTIONS)).cast(pa.string())
+        bars = pa.StructArray.from_arrays([names, pa.array(dims), pa.array(births), pa.array(deaths)], ["direction", "hom_dim", "birth", "death"])
+        out = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(self.counts))).astype(np.int32)), bars)
+        self.clear()
+        return out
+
+
+def _shape(table: DataFrame, keys: list[str]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in table.schema}
+    return "".join(f"`{k}` {types[k]}, " for k in keys)
+
+
+def _dealt(table: DataFrame, *keys: str) -> DataFrame:
+    """Dealt evenly by a count, which adaptive execution keeps: the rows' bytes say little about their work."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def cross_barcodes(pairs: DataFrame, keys: list[str], loops: bool = False) -> DataFrame:
     """keys, bars: for each pair row (points, class_points) its nested bars of both directions.
 
-    bars is array<struct<direction, hom_dim, birth, death>>. H0 is exact; H1 is exact for kept clouds of at most
-    max_h1_points points, larger ones are first cut to their farthest points. Trees of clouds are kept within a
-    batch, since a series meets all classes. A pair without points on a side has no bars.
+    bars is array<struct<direction, hom_dim, birth, death>>; H0, and with loops H1, are exact for clouds of any size.
     """
-    directions = pa.array(["qc", "cq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bars = _Bars(loops)
         for batch in batches:
-            trees: dict[bytes, np.ndarray] = {}
-            counts, codes, dims, births, deaths = [], [], [], [], []
             for a, b in zip(_clouds(batch.column("points")), _clouds(batch.column("class_points")), strict=True):
-                total = 0
-                for code, kept, other in ((0, a, b), (1, b, a)):
-                    if not len(kept) or not len(other):
-                        continue
-                    key = kept.tobytes()
-                    if key not in trees:
-                        trees[key] = kernels.kept_tree(kept)
-                    h0 = kernels.cross_h0(trees[key], kept, other)
-                    found = [(0, np.zeros(len(h0)), h0)]
-                    if loops:
-                        h1 = kernels.cross_h1(kept[kernels.farthest_points(kept, max_h1_points, 0)], other)
-                        found.append((1, h1[:, 0], h1[:, 1]))
-                    for dim, birth, death in found:
-                        total += len(birth)
-                        codes.append(np.full(len(birth), code, np.int8))
-                        dims.append(np.full(len(birth), dim, np.int32))
-                        births.append(birth)
-                        deaths.append(death)
-                counts.append(total)
-            codes, dims, births, deaths = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((codes, np.int8), (dims, np.int32), (births, float), (deaths, float)))
-            names = pa.DictionaryArray.from_arrays(pa.array(codes), directions).cast(pa.string())
-            bars = pa.StructArray.from_arrays([names, pa.array(dims), pa.array(births), pa.array(deaths)], ["direction", "hom_dim", "birth", "death"])
-            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.ListArray.from_arrays(offsets, bars)], names=[*keys, "bars"])
-
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    shape = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", bars array<struct<direction:string,hom_dim:int,birth:double,death:double>>"
-    # Pairs are dealt evenly by a count, which adaptive execution keeps: their bytes say little about their work.
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select(*keys, "points", "class_points").repartition(parts, *keys).mapInArrow(run, shape)
+                bars.add(a, b)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), bars.take()], names=[*keys, "bars"])
+
+    return _dealt(pairs.select(*keys, "points", "class_points"), *keys).mapInArrow(run, f"{_shape(pairs, keys)}bars {_BARS}")
+
+
+def class_barcodes(series: DataFrame, keys: list[str], classes: dict[int, list], loops: bool = False, directions: tuple[str, ...] = _DIRECTIONS) -> DataFrame:
+    """keys, class_label, bars: each row's cloud (points) with every class in its array wanted.
+
+    classes are the class clouds, of bounded number and size, which go with the tasks; so a row travels once whatever the number of classes.
+    own (null: the class's) takes the place of the cloud of the class in the column label.
+    """
+    held = {c: np.array(p, float).reshape(len(p), -1) for c, p in classes.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bars = _Bars(loops)
+        for batch in batches:
+            # A few rows at a time: each may have a cloud of its own and meet many classes.
+            for part in (batch.slice(i, 16) for i in range(0, batch.num_rows, 16)):
+                rows, labels = [], []
+                clouds = zip(_clouds(part.column("points")), _clouds(part.column("own")), part.column("own").is_valid().to_pylist(), part.column("label").to_pylist(), part.column("wanted").to_pylist(), strict=True)
+                for k, (a, own, has_own, label, wanted) in enumerate(clouds):
+                    for c in wanted:
+                        bars.add(a, own if has_own and c == label else held.get(c, a[:0]), directions)
+                        rows.append(k)
+                        labels.append(c)
+                taken = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(taken.column(k) for k in keys), pa.array(labels, pa.int32()), bars.take()], names=[*keys, "class_label", "bars"])
+
+    dealt = _dealt(series.select(*dict.fromkeys([*keys, "label"]), "points", "own", "wanted"), *keys)
+    return dealt.mapInArrow(run, f"{_shape(series, keys)}class_label int, bars {_BARS}")
 
 
 def slots(barcodes: DataFrame, keys: list[str], hom_dims: tuple[int, ...]) -> DataFrame:

@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 
 from cloudweave.functions import kernels
 from cloudweave.operators.embedding import cloud_budget
+from cloudweave.operators.farthest import farthest_subclouds
 
 
 @dataclass(frozen=True)
 class Sizes:
     """How many points of n a cloud keeps: all below small, else fraction of them, least to most."""
 
-    fraction: float = 0.1
+    fraction: float = 0.8
     least: int = 20
-    most: int = 60
-    small: int = 30
+    most: int = 1000
+    small: int = 100
 
     def of(self, n: Column) -> Column:
         return cloud_budget(n, self.fraction, self.least, self.most, self.small)
@@ -103,7 +104,7 @@ def subclouds(pool: DataFrame, sizes: DataFrame, seed: int = 0, default: bool =
     w = Window.partitionBy("label").orderBy(md5_order(seed, "label", "series_id", "point_idx"), "series_id", "point_idx")
     # A limit known beforehand lets every task cut its share of a class before the shuffle, whatever the class's size.
     most = sizes.agg(F.max(F.col("size") + F.col("largest"))).head()[0] or 0
-    ranked = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(F.broadcast(sizes.select("label", "size", "largest")), "label")
+    ranked = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(sizes.select("label", "size", "largest"), "label")
     head = ranked.where(F.col("rank") <= F.col("size") + F.col("largest"))
     own = Window.partitionBy("label", "series_id").orderBy("rank")
     head = head.withColumn("own", F.row_number().over(own)).select("label", "series_id", "point_idx", "coords", "rank", "own", "size")
@@ -134,6 +135,36 @@ def one_per_series(pool: DataFrame, size: int, seed: int = 0, mode: str = "unifo
     return summed.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("label", "series_id", "point_idx", "coords")
 
 
+def _changed(head: DataFrame, kept: Column) -> DataFrame:
+    """(label, exclude_series, points): the points of head in order of rank, up to kept, of each class and without each series that has one of them."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "coords", "series_id")))  # size + largest points at most
+    by_class = head.groupBy("label").agg(ordered.alias("head"), F.max("size").alias("size"))
+    first = lambda points: F.transform(F.slice(points, F.lit(1), F.col("size")), lambda x: x["coords"])
+    whole = by_class.select("label", F.lit(None).cast("long").alias("exclude_series"), first(F.col("head")).alias("points"))
+    without = head.where(kept).select("label", F.col("series_id").cast("long").alias("exclude_series")).distinct().join(by_class, "label")
+    rest = F.filter("head", lambda x: x["series_id"] != F.col("exclude_series"))
+    return whole.unionByName(without.select("label", "exclude_series", first(rest).alias("points")))
+
+
+def class_subclouds(pool: DataFrame, sizes: DataFrame, seed: int = 0, mode: str = "maxmin", class_mode: str = "A") -> DataFrame:
+    """(label, exclude_series, points): the subcloud of each class, and those without each series that has a point in it.
+
+    exclude_series is null for the whole class. Any other series shares that one, so a class has at most as many rows
+    as its subcloud has points, and one. A class of one series has no points without it. Mode A samples the pooled points
+    (maxmin: farthest points, else by md5); mode B keeps one point of each series, of as many series in md5 order.
+    """
+    if class_mode == "B":
+        ordered = one_per_series(pool, int(sizes.agg(F.max("size")).head()[0] or 0) + 1, seed, mode).join(sizes.select("label", "size"), "label")
+        w = Window.partitionBy("label").orderBy(md5_order(seed, "label", "series_id"), "series_id")
+        return _changed(ordered.withColumn("rank", F.row_number().over(w)).where("rank <= size + 1"), F.expr("rank <= size"))
+    if mode == "maxmin":
+        return farthest_subclouds(pool, sizes, seed)
+    w = Window.partitionBy("label").orderBy(md5_order(seed, "label", "series_id", "point_idx"), "series_id", "point_idx")
+    most = sizes.agg(F.max(F.col("size") + F.col("largest"))).head()[0] or 0
+    ranked = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(sizes.select("label", "size", "largest"), "label")
+    return _changed(ranked.where("rank <= size + largest"), F.expr("rank <= size"))
+
+
 def size_report(pool: DataFrame, sizes: DataFrame, query_points: int, loops: bool = True, few: int = 15) -> DataFrame:
     """Points, series and sizes of each class; small where H1 has too few points to be of use."""
     counted = pool.groupBy("label").agg(F.count("*").alias("points"), F.count_distinct("series_id").alias("series"))

@@ -60,6 +60,16 @@ def cap_grid(lengths: DataFrame, tau: int, m: int, stride: int, min_points: int
     return best.select("length", F.col("b.t").alias("tau"), F.col("b.d").alias("m"), F.col("b.s").alias("stride"))
 
 
+def search_caps(length: int, max_tau: int, max_m: int, stride: int) -> tuple[int, int]:
+    """Bounds of the search: neighbours are tried in up to two dimensions more, which must fit too. m is lowered first, to 2, then tau."""
+    fits = lambda t, d: d + 2 <= (length - 1 - stride) // t + 1
+    tau = max(1, max_tau)
+    for d in range(max(2, max_m), 1, -1):
+        if fits(tau, d):
+            return tau, d
+    return next((t for t in range(tau - 1, 0, -1) if fits(t, 2)), 1), 2
+
+
 def search(series: DataFrame, max_tau: int, max_m: int, stride: int = 1, sample: int | None = 5, seed: int = 0) -> tuple[int, int, int]:
     """(tau, m, stride) from a sample of series, or all of them if it is None: medians of each one's first minimum of mutual information and of the
     dimension at which false neighbours end, capped so that they fit."""
@@ -69,10 +79,11 @@ def search(series: DataFrame, max_tau: int, max_m: int, stride: int = 1, sample:
             found = [kernels.embedding_parameters(np.asarray(v, float), max_tau, max_m) for v in batch["values"]]
             yield pd.DataFrame(found, columns=["tau", "m"])
 
+    length = series.agg(F.min(F.size("values"))).head()[0]
+    max_tau, max_m = search_caps(length, max_tau, max_m, stride)
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("series_id").cast("string")))
     chosen = series if sample is None else series.orderBy(order).limit(sample)
     row = chosen.select("values").mapInPandas(one, "tau int, m int").agg(F.median("tau"), F.median("m")).head()
-    length = series.agg(F.min(F.size("values"))).head()[0]
     return cap_embedding(length, round(row[0]), round(row[1]), stride)
 
 
@@ -112,7 +123,6 @@ def clean(value: Column, limit: float = 1e6) -> Column:
 
 
 
-
 #: The kinds of datasets that count as dynamical.
 DYNAMICAL = ("SENSOR", "MOTION", "ECG", "DEVICE", "EOG", "HEMODYNAMICS")
 

@@ -24,6 +24,8 @@ from cloudweave.sources import sinks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TAU, M, STRIDE = 4, 10, 3
+#: Class clouds that SQL can still follow: a tenth of the points, 20 to 60.
+FEW = clouds.Sizes(fraction=0.1, least=20, most=60, small=30)
 
 
 def query(sql: str | None = None):
@@ -225,7 +227,7 @@ SIZES = """sizes AS (SELECT label, CAST(n AS INTEGER) AS n, series, CAST(largest
 
 @query(f"WITH {POINTS}, {SIZES} SELECT label, n, series, largest, size FROM sizes")
 def t5_class_sizes(spark, sf_dir):
-    return clouds.class_sizes(vector_pool(spark, sf_dir), clouds.Sizes()).select("label", "n", "series", "largest", "size")
+    return clouds.class_sizes(vector_pool(spark, sf_dir), FEW).select("label", "n", "series", "largest", "size")
 
 
 @query(f"""WITH {POINTS}, {SIZES}, excluded AS (SELECT DISTINCT label, series_id AS exclude_series FROM points UNION ALL SELECT DISTINCT label, NULL FROM points),
@@ -234,7 +236,7 @@ FROM points p JOIN excluded e ON p.label = e.label AND p.series_id IS DISTINCT F
 SELECT ranked.label, coalesce(exclude_series, -1) AS exclude_series, series_id, point_idx FROM ranked JOIN sizes USING (label) WHERE r <= size""")
 def t6_leave_one_out_subclouds(spark, sf_dir):
     pool = vector_pool(spark, sf_dir)
-    got = clouds.subclouds(pool, clouds.class_sizes(pool, clouds.Sizes()))
+    got = clouds.subclouds(pool, clouds.class_sizes(pool, FEW))
     return got.select("label", F.coalesce("exclude_series", F.lit(-1)).alias("exclude_series"), "series_id", "point_idx")
 
 
@@ -258,7 +260,7 @@ def t7_farthest_point_per_series(spark, sf_dir):
 SELECT c.label, points, c.series, size AS target, largest, least(size, points) AS actual, c.series <= 1 AS empty_without_one, least(least(size, points), 10) < 15 AS small FROM c JOIN sizes USING (label)""")
 def t8_cloud_size_report(spark, sf_dir):
     pool = vector_pool(spark, sf_dir)
-    return clouds.size_report(pool, clouds.class_sizes(pool, clouds.Sizes()), 10)
+    return clouds.size_report(pool, clouds.class_sizes(pool, FEW), 10)
 
 
 # --- Pairs ---
@@ -391,7 +393,7 @@ def f2_asymmetry(spark, sf_dir):
 round(sqrt(2 * sum(qc * qc) / (2 * count(*) - 1)) * pow(2 * count(*), -0.2), 6) + 0.0 AS bandwidth FROM classed GROUP BY 1, 2""")
 def f3_self_density(spark, sf_dir):
     got = density.fit(line_sides(spark, sf_dir), ["class_label", "hom_dim"], "qc")
-    return got.select("class_label", "hom_dim", "n", "distinct_values", r6(F.array_min("sorted_values")).alias("least"), r6(F.array_max("sorted_values")).alias("most"), r6("bandwidth").alias("bandwidth"))
+    return got.select("class_label", "hom_dim", "n", "distinct_values", r6("least").alias("least"), r6("most").alias("most"), r6("bandwidth").alias("bandwidth"))
 
 
 @query(f"""WITH {MTD}, v AS (SELECT pair, hom_dim, class_label, round(qc, 9) AS qc FROM classed)
@@ -418,7 +420,8 @@ cdf AS (SELECT label, i, g, sum(d) OVER (PARTITION BY label ORDER BY i) / sum(d)
 SELECT series_id, round(1 - max(c), 5) + 0.0 AS tail FROM tv JOIN cdf ON tv.label = cdf.label AND g < value GROUP BY series_id""")
 def f5_membership_kde(spark, sf_dir):
     rows = variation(spark, sf_dir)
-    got = density.kde_tail(rows, density.fit(rows, ["label"]), ["label"])
+    sampled = density.sample(rows, ["label"])
+    got = density.kde_tail(rows, density.curves(sampled, density.fit(sampled, ["label"]), ["label"]), ["label"])
     return got.select("series_id", (F.round("tail", 5) + F.lit(0.0)).alias("tail"))
 
 
@@ -758,7 +761,7 @@ def i7_over_seeds(spark, sf_dir):
 # --- Operators that SQL expresses in part or not at all; tests hold the helpers of the barcodes against brute force ---
 
 
-def small_clouds(spark: SparkSession, sf_dir: str, sizes: clouds.Sizes = clouds.Sizes()) -> DataFrame:
+def small_clouds(spark: SparkSession, sf_dir: str, sizes: clouds.Sizes = FEW) -> DataFrame:
     """(pair keys, points, class_points): each series' cloud with each class's default subcloud."""
     s = vector_series(spark, sf_dir)
     own = clouds.series_clouds(embedding.embed(s, TAU, M, STRIDE), clouds.Sizes(1.0, 5, 500, 30))
@@ -822,8 +825,14 @@ def x1_cross_barcodes_h0(spark, sf_dir):
 
 @query()
 def x2_cross_barcodes_h1(spark, sf_dir):
-    """Class clouds of 20 points, so that the loops of every cloud are exact."""
-    got = barcodes.cross_barcodes(small_clouds(spark, sf_dir, clouds.Sizes(most=20)), ["series_id", "class_label"], True, 20)
+    """Loops of every series' cloud with every class cloud of the full size (0.8 of the points, up to 1,000), both ways."""
+    s = vector_series(spark, sf_dir)
+    own = clouds.series_clouds(embedding.embed(s, TAU, M, STRIDE), clouds.Sizes(most=500))
+    pool = clouds.pooled(own)
+    sub = clouds.class_subclouds(pool, clouds.class_sizes(pool, clouds.Sizes()), mode="uniform").where("exclude_series is null")
+    shared = {r.label: r.points for r in sub.collect()}
+    rows = own.select("series_id", "label", "points", F.lit(None).cast("array<array<double>>").alias("own"), F.array(*map(F.lit, sorted(shared))).alias("wanted"))
+    got = barcodes.class_barcodes(rows, ["series_id"], shared, loops=True)
     return barcodes.slots(got, ["series_id", "class_label"], (1,)).select("series_id", "class_label", "direction", F.size("bars").alias("n_bars"), F.aggregate("bars", F.lit(0.0), lambda a, b: a + b["death"] - b["birth"]).alias("total"))
 
 
@@ -844,6 +853,13 @@ def f8_training_features(spark, sf_dir):
     return features.wide(found, model.names)
 
 
+@query()
+def f8_full_features(spark, sf_dir):
+    """All representations, loops included, at full sizes."""
+    _, _, model, found = _fitted(spark, sf_dir, class_features.FULL)
+    return features.wide(found, model.names)
+
+
 @query()
 def f9_unseen_features(spark, sf_dir):
     _, test, model, _ = _fitted(spark, sf_dir)
@@ -864,7 +880,7 @@ def _methods(spark: SparkSession) -> experiments.Methods:
     """Class-comparison features, fitted to the training series alone, and a generator that looks at one series."""
 
     def make(train: DataFrame, test: DataFrame, seed: int) -> dict[str, tuple[DataFrame, DataFrame]]:
-        own = experiments.cloud_vectors(train, test, replace(class_features.QUICK, seed=seed), work_dir(spark))
+        own = experiments.cloud_vectors(train, test, replace(class_features.QUICK, hom_dims=(0,), seed=seed), work_dir(spark))
         return {"classes": own, "signature": (experiments.vectors(train, ["signature"]), experiments.vectors(test, ["signature"]))}
 
     return make

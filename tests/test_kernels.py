@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from cloudweave.functions import catch22, kernels
+from cloudweave.functions import catch22, kernels, loops
 
 
 def rips(points, collapsed):
@@ -40,7 +40,7 @@ def test_cross_barcodes_equal_full_reduction(seed):
     d = rips(p, q)
     h0 = kernels.cross_h0(kernels.kept_tree(p), p, q)
     assert np.allclose(sorted(h0), [b for _, b in brute_bars(d, 0)])
-    h1 = sorted(map(tuple, kernels.cross_h1(p, q)))
+    h1 = sorted(map(tuple, loops.cross_h1(loops.Kept(p), q)))
     want = brute_bars(d, 1)
     assert len(h1) == len(want) and np.allclose(h1, want)
 

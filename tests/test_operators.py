@@ -78,7 +78,7 @@ def test_scalars_by_hand(spark):
 
 def test_sampling_does_not_depend_on_partitions(spark, sines):
     pool = clouds.pooled(embedding.embed(sines, 4, 3, 2))
-    sizes = clouds.class_sizes(pool, clouds.Sizes())
+    sizes = clouds.class_sizes(pool, clouds.Sizes(0.1, 20, 60, 30))
     out = []
     for n in (1, 17):
         p = pool.repartition(n)
@@ -94,7 +94,7 @@ def test_sampling_does_not_depend_on_partitions(spark, sines):
 def test_single_series_class_has_no_subcloud(spark):
     rows = spark.createDataFrame([(1, 0, [float(x) for x in range(20)])], "series_id long, label int, values array<double>")
     pool = clouds.pooled(embedding.embed(rows, 1, 2, 1))
-    sizes = clouds.class_sizes(pool, clouds.Sizes())
+    sizes = clouds.class_sizes(pool, clouds.Sizes(0.1, 20, 60, 30))
     assert clouds.subclouds(pool, sizes, default=False).count() == 0
     assert clouds.size_report(pool, sizes, 10).head().empty_without_one
 
