@@ -5,9 +5,19 @@ from __future__ import annotations
 import numpy as np
 
 
+def squares(columns: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Squared distances of points, given coordinate by coordinate, from one point."""
+    out = (columns[0] - point[0]) ** 2
+    for x, p in zip(columns[1:], point[1:], strict=True):
+        out += (x - p) ** 2
+    return out
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    apart = a[:, None, :] - b[None, :, :]
-    return np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T, strict=True):
+        out += (x[:, None] - y) ** 2
+    return np.sqrt(out, out=out)
 
 
 def farthest_points(points: np.ndarray, size: int, first: int) -> np.ndarray:
@@ -15,12 +25,12 @@ def farthest_points(points: np.ndarray, size: int, first: int) -> np.ndarray:
     n = len(points)
     if n <= size:
         return np.arange(n)
-    chosen = [first]
-    near = ((points - points[first]) ** 2).sum(1)
+    chosen, columns = [first], np.ascontiguousarray(points.T)
+    near = squares(columns, points[first])
     while len(chosen) < size:
         k = int(near.argmax())
         chosen.append(k)
-        near = np.minimum(near, ((points - points[k]) ** 2).sum(1))
+        np.minimum(near, squares(columns, points[k]), out=near)
     return np.array(chosen)
 
 
@@ -55,27 +65,46 @@ class Sets:
         return i != j
 
 
-def kept_tree(points: np.ndarray) -> np.ndarray:
-    """The tree of a kept cloud alone; made once, it serves every pair that the cloud is in."""
-    return tree_edges(distances(points, points)) if len(points) > 1 else np.zeros((0, 3))
+def merges(edges: np.ndarray) -> tuple[list[int], list[int], list[float]]:
+    """How a tree's edges, shortest first, join its points: the two parts of each merge (points, then merges by number) and its length."""
+    n = len(edges) + 1
+    sets, part = Sets(n), list(range(n))
+    left, right, length = [], [], []
+    for k, (a, b, d) in enumerate(edges[np.argsort(edges[:, 2], kind="stable")].tolist()):
+        a, b = sets.find(int(a)), sets.find(int(b))
+        left.append(part[a])
+        right.append(part[b])
+        length.append(d)
+        sets.join(a, b)
+        part[min(a, b)] = n + k
+    return left, right, length
+
+
+def kept_tree(points: np.ndarray) -> tuple[list[int], list[int], list[float]]:
+    """The merges of a kept cloud's own tree; made once, they serve every pair that the cloud is in."""
+    return merges(tree_edges(distances(points, points)) if len(points) > 1 else np.zeros((0, 3)))
 
 
-def cross_h0(tree: np.ndarray, kept: np.ndarray, collapsed: np.ndarray) -> np.ndarray:
+def cross_h0(tree: tuple[list[int], list[int], list[float]], kept: np.ndarray, collapsed: np.ndarray) -> np.ndarray:
     """Lengths of the finite H0 bars of a cloud against one whose inner distances are 0.
 
     They are the edges of a minimum spanning tree on the cloud and a star at distance min_q d(p, q). By the
-    cycle property only edges of the cloud's own tree and the star's can be in it. Bars of length 0 are left out.
+    cycle property only edges of the cloud's own tree and the star's can be in it: where the tree joins two parts, the
+    part farther from the star is joined by the tree's edge or by its own way to the star, whichever is shorter. Bars of
+    length 0 are left out.
     """
     if not len(kept) or not len(collapsed):
         return np.zeros(0)
-    star = distances(kept, collapsed).min(1)
-    n = len(kept)
-    length = np.concatenate([tree[:, 2], star])
-    order = np.argsort(length, kind="stable")
-    left = np.concatenate([tree[:, 0].astype(int), np.arange(n)])[order].tolist()
-    right = np.concatenate([tree[:, 1].astype(int), np.full(n, n)])[order].tolist()
-    sets = Sets(n + 1)
-    out = length[order][[sets.join(i, j) for i, j in zip(left, right, strict=True)]]
+    star = distances(kept, collapsed).min(1).tolist()
+    bars = []
+    for a, b, d in zip(*tree, strict=True):
+        x, y = star[a], star[b]
+        if x > y:
+            x, y = y, x
+        star.append(x)
+        bars.append(d if d < y else y)
+    bars.append(star[-1])
+    out = np.array(bars)
     return out[out > 0]
 
 
