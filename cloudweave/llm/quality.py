@@ -151,9 +151,7 @@ def classify(docs: DataFrame, labels: DataFrame, conf: Config = Config()) -> Dat
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, conf: Config = Config()) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
-    name = "_quality"
-    while name in docs.columns:
-        name += "_"
+    """The documents that the classifier accepts, with all their columns, whatever these are called. Null and empty texts are scored as classify does; an empty table stays empty."""
+    name = common.fresh(docs, "_quality")[0]
     texts = docs if "text" in docs.columns else docs.withColumn("text", F.lit(""))
     return score(texts, fit(docs, labels, conf), conf, name).where(F.col(name) >= conf.threshold).select(*docs.columns)

@@ -111,10 +111,35 @@ def test_large_values_stay_exact(spark):
     assert [r.vec_id for r in got] == [19, 18, 17, 16, 15] and got[0].score == 2**28 * 2**28 + 256 * 19 * 256
 
 
-def test_sums_beyond_64_bits_are_refused(spark):
-    df = spark.createDataFrame([(0, [2.0**30, 0.0]), (1, [2.0**30, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="64 bits"):
-        topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+def plain_rows(rows, dims=2, k=5):
+    """Ranks of each query row by exact sums; a score beyond 64 bits is null."""
+    hold = lambda x: max(-(2**63), min(2**63 - 1, int(np.floor(256.0 * x)) if abs(x) < 1e300 else 0))
+    vectors = [(i, [hold(x) for x in v]) for i, v in rows]
+    out = []
+    for j, (q, v) in enumerate(vectors):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for n, (i, w) in enumerate(vectors) if n != j)[:k]
+            out += [(q, r, i, -s if -(2**63) <= -s < 2**63 else None) for r, (s, i) in enumerate(scored, 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rows", [
+    [(0, [2.0**30, 0.0]), (1, [2.0**30, 0.0]), (2, [1.0, 0.0]), (3, [2.0**30, 1.0]), (4, [-(2.0**30), 0.0])],
+    [(0, [1.0, 0.0]), (1, [-1e30, 0.0]), (2, [1e30, 1.0]), (3, [2.0, 0.0])],
+    [(0, [1e17, 1.0]), (1, [1.0, 1e-3]), (2, [1.0, 1.0]), (50, [1e-2, 5.0])],
+    [(0, [1.0, 0.0]), (0, [5.0, 0.0]), (2, [1.0, 0.0]), (0, [5.0, 0.0])],
+])
+def test_sums_beyond_64_bits_and_repeated_ids(spark, rows):
+    """Sums are exact whatever their size, and every row but the query's own is a candidate."""
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in got), key=str) == plain_rows(rows)
+
+
+def test_good_documents_with_a_clashing_column(spark):
+    docs = spark.createDataFrame([(i, "plain good words of a text " * 5, 1.0) for i in range(30)], "doc_id long, text string, _Quality double")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    kept = quality.good_documents(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 30
 
 
 def test_secrets_are_found_and_masked(spark, empty):
