@@ -5,10 +5,10 @@ Rows are (row_id, x array<double>, y array<double>): a block and its partner.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -56,29 +56,63 @@ def capped_pca(rows: DataFrame, column: str, train: Column | None = None, most:
     return PCA(k=cap, inputCol="_v", outputCol="_o").fit(vectors(fitted)).transform(vectors(rows)).withColumn(column, vector_to_array("_o")).drop("_v", "_o")
 
 
-def _moments(rows: DataFrame) -> dict[int, dict[int, np.ndarray]]:
-    """By replicate and fold the sums of products of (1, x, y): small square matrices, whatever the rows."""
+#: Rows whose products one task adds up before sums meet.
+PART = 100_000
+
+
+def _moments(rows: DataFrame, n: int) -> DataFrame:
+    """(replicate, fold, m): the sums of products of (1, x, y), a square matrix of bytes, of each replicate and fold.
+
+    Rows come sorted by replicate and fold in parts of about PART, so that a task holds one matrix at a time, however wide the blocks and many the replicates.
+    """
     keys = ["replicate", "fold"]
     rows = rows if "replicate" in rows.columns else rows.withColumn("replicate", F.lit(0))
+    dealt = rows.select(*(F.col(k).cast("int").alias(k) for k in keys), F.pmod(F.xxhash64("row_id"), F.lit(max(1, n // PART))).cast("int").alias("part"), "x", "y")
+    dealt = dealt.repartition(*keys, "part").sortWithinPartitions(*keys, "part")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda key, m: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=[*keys, "m"])
+        held, total = None, None
         for batch in batches:
-            for key, part in batch.groupby(keys):
-                m = np.column_stack([np.ones(len(part)), np.stack(part["x"].map(np.asarray)), np.stack(part["y"].map(np.asarray))])
-                sums[key] = sums.get(key, 0) + m.T @ m
-        yield pd.DataFrame([(*k, s.ravel().tolist()) for k, s in sums.items()], columns=[*keys, "m"])
+            where = np.stack([batch.column(k).to_numpy() for k in (*keys, "part")], 1)
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(where), -1) if len(where) else np.zeros((0, 0)) for c in ("x", "y"))
+            for a, b in _runs(where):
+                m = np.column_stack([np.ones(b - a), x[a:b], y[a:b]])
+                key = tuple(where[a].tolist())
+                if held is not None and key != held:
+                    yield row(held, total)
+                    total = None
+                held, total = key, m.T @ m if total is None else total + m.T @ m
+        if held is not None:
+            yield row(held, total)
+
+    def summed(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(m.as_buffer()) for c in part.column("m").chunks for m in c)
+        return part.slice(0, 1).set_column(2, "m", pa.array([total.tobytes()], pa.binary()))
+
+    return dealt.mapInArrow(run, "replicate int, fold int, m binary").groupBy(*keys).applyInArrow(summed, "replicate int, fold int, m binary")
+
 
-    def total(part: pd.DataFrame) -> pd.DataFrame:
-        return part.iloc[:1].assign(m=[np.sum(np.stack(part["m"].map(np.asarray)), axis=0).tolist()])
+def _runs(where: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of equal rows."""
+    if not len(where):
+        return []
+    cuts = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)], strict=True))
 
-    shape = "replicate int, fold int, m array<double>"
-    found = rows.select(F.col("replicate").cast("int").alias("replicate"), "fold", "x", "y").mapInPandas(run, shape).groupBy(*keys).applyInPandas(total, shape)
-    out: dict[int, dict[int, np.ndarray]] = {}
-    for r in found.toLocalIterator():
-        side = int(round(len(r["m"]) ** 0.5))
-        out.setdefault(r["replicate"], {})[r["fold"]] = np.array(r["m"]).reshape(side, side)
-    return out
+
+def _solved(rows: DataFrame, of: Callable[[dict[int, np.ndarray]], list[float]]) -> DataFrame:
+    """(replicate, slot, value): of(sums by fold) of every replicate, each solved in its own task. Numbers alone leave the executors."""
+
+    def solve(part: pa.Table) -> pa.Table:
+        sums = {}
+        for f, m in zip(part.column("fold").to_pylist(), part.column("m").to_pylist(), strict=True):
+            side = int(round((len(m) // 8) ** 0.5))
+            sums[f] = np.frombuffer(m).reshape(side, side)
+        found = of(sums)
+        return pa.table({"replicate": pa.array([part.column("replicate")[0].as_py()] * len(found), pa.int32()), "slot": pa.array(range(len(found)), pa.int32()), "value": pa.array(found, pa.float64())})
+
+    return _moments(rows, rows.count()).groupBy("replicate").applyInArrow(solve, "replicate int, slot int, value double")
 
 
 def _train(sums: dict[int, np.ndarray], fold: int) -> np.ndarray:
@@ -153,14 +187,14 @@ def explained_r2(rows: DataFrame, alpha: float = 1.0) -> DataFrame:
     rows need fold. y is standardised, and reduced to its principal axes if it is wide, by the other folds. Sums of
     products are made on the executors; the solve is of the blocks' width.
     """
-    (sums,) = _moments(rows).values()
-    return rows.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(_r2(sums, _width(rows), alpha))], "slot int, r2 double")
+    p = _width(rows)
+    return _solved(rows, lambda sums: _r2(sums, p, alpha).tolist()).select("slot", F.col("value").alias("r2"))
 
 
 def canonical_correlation(rows: DataFrame, most: int = 5) -> float:
     """Mean absolute held-out correlation of the canonical pairs fitted on the other folds; 0 if there are none."""
-    (sums,) = _moments(rows).values()
-    return _rho(sums, _width(rows), most)
+    p = _width(rows)
+    return _solved(rows, lambda sums: [_rho(sums, p, most)]).head()["value"]
 
 
 #: Metrics of dependence by name: one number for a block and its partner, larger for more.
@@ -182,9 +216,8 @@ def permuted(rows: DataFrame, repeats: int, seed: int, key: str = "row_id") -> D
 
 def null_values(rows: DataFrame, metric: str, repeats: int, seed: int) -> DataFrame:
     """(replicate, value) of a metric of METRICS: as observed (0) and under permutations of the partner. rows need fold."""
-    p = _width(rows)
-    values = [(r, METRICS[metric](sums, p)) for r, sums in sorted(_moments(permuted(rows, repeats, seed)).items())]
-    return rows.sparkSession.createDataFrame(values, "replicate int, value double")
+    p, of = _width(rows), METRICS[metric]
+    return _solved(permuted(rows, repeats, seed), lambda sums: [of(sums, p)]).select("replicate", "value")
 
 
 def p_value(statistics: DataFrame, *group: str) -> DataFrame:

@@ -100,6 +100,18 @@ def s1_series_from_text(spark, sf_dir):
     return got.groupBy("label", F.size("values").alias("length")).agg(F.count("*").alias("n"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
 
 
+@query(f"WITH {SERIES} SELECT label, count(*) AS n, count(*) AS ids, round(sum(list_sum(v)), 4) + 0.0 AS total FROM (SELECT label, v FROM series UNION ALL SELECT label, v FROM series WHERE label % 2 = 0) GROUP BY 1")
+def s1_repeated_lines(spark, sf_dir):
+    """Text with every line of the even labels twice: each line is a series of its own."""
+    path = f"{work_dir(spark)}/text"
+    line = F.concat_ws(" ", F.col("label").cast("string"), F.array_join(F.transform("values", lambda x: x.cast("string")), " "))
+    s = vector_series(spark, sf_dir)
+    s.unionByName(s.where("label % 2 = 0")).select(line).coalesce(1).write.text(path)
+    total = F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x))
+    got = sources.read_text(spark, path)
+    return got.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("series_id").alias("ids"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
+
+
 @query(f"""WITH {SERIES} SELECT count(*) AS series, count(*) FILTER (v IS NULL OR len(v) = 0) AS empty,
 count(*) FILTER (len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0) AS not_finite, count(*) FILTER (label IS NULL) AS unlabelled,
 CAST(min(len(v)) AS BIGINT) AS shortest, CAST(max(len(v)) AS BIGINT) AS longest FROM series""")
@@ -526,6 +538,17 @@ def g4_path_signature(spark, sf_dir):
     return got.select("series_id", *(r6(c).alias(c) for c in got.columns[1:]))
 
 
+@query(f"""WITH {SERIES}, p AS (SELECT series_id, i, [v[i], v[i + 4], v[i + 8]] AS c FROM series, generate_series(1, 56) g(i)),
+d AS (SELECT series_id, i, list_transform([1, 2, 3], lambda k: c[k] - lag(c) OVER w [k]) AS d, list_transform([1, 2, 3], lambda k: lag(c) OVER w [k] - first_value(c) OVER w [k]) AS s FROM p WINDOW w AS (PARTITION BY series_id ORDER BY i)),
+t AS (SELECT series_id, a, b, sum(s[a] * d[b] + d[a] * d[b] / 2) AS s2, sum(d[a]) AS x, sum(d[b]) AS y FROM d, generate_series(1, 3) g(a), generate_series(1, 3) h(b) WHERE d[1] IS NOT NULL GROUP BY 1, 2, 3)
+SELECT series_id, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(s2, 5) + 0.0 AS s2, round(s2 - x * y / 2, 5) + 0.0 AS log2 FROM t""")
+def g4_cloud_signature(spark, sf_dir):
+    """The path of each series through its three-dimensional cloud."""
+    got = baselines.cloud_signature(embedding.embed(vector_series(spark, sf_dir), 4, 3, 1))
+    cells = F.array(*(F.struct(F.lit(i + 1).alias("a"), F.lit(j + 1).alias("b"), F.get("s2", F.lit(i * 3 + j)).alias("s2"), (F.get("s2", F.lit(i * 3 + j)) - F.get("s", F.lit(i)) * F.get("s", F.lit(j)) / 2).alias("log2")) for i in range(3) for j in range(3)))
+    return got.select("series_id", F.explode(cells).alias("x")).select("series_id", "x.a", "x.b", (F.round("x.s2", 5) + F.lit(0.0)).alias("s2"), (F.round("x.log2", 5) + F.lit(0.0)).alias("log2"))
+
+
 # --- Evaluation ---
 
 MODULES = ["a", "b", "c"]
@@ -817,6 +840,53 @@ def t2_maxmin_subsample(spark, sf_dir):
     return clouds.maxmin_sample(rows, F.lit(30)).select("series_id", F.posexplode("points").alias("point_idx", "coords"))
 
 
+GREEDY = """RECURSIVE {points}, apart AS (SELECT p.g, p.i, p.c, (p.c[1] - f.c[1]) ** 2 + (p.c[2] - f.c[2]) ** 2 + (p.c[3] - f.c[3]) ** 2 AS near, 1 AS step, f.i AS chosen FROM p JOIN first f USING (g)
+UNION ALL SELECT g, i, c, least(near, (c[1] - b[1]) ** 2 + (c[2] - b[2]) ** 2 + (c[3] - b[3]) ** 2), step + 1, bi FROM
+(SELECT *, first_value(c) OVER w AS b, first_value(i) OVER w AS bi FROM apart WHERE step < {size} WINDOW w AS (PARTITION BY g ORDER BY near DESC, i))),
+picked AS (SELECT DISTINCT g, step, chosen AS i FROM apart)"""
+SERIES_POINTS = SERIES + """, p AS (SELECT series_id AS g, i - 1 AS i, [v[i], v[i + 4], v[i + 8]] AS c FROM series, generate_series(1, 56) s(i)),
+first AS (SELECT p.* FROM p WHERE i = CAST('0x' || substr(md5(concat('0:', g)), 1, 8) AS BIGINT) % 56)"""
+
+
+@query(f"""WITH {GREEDY.format(points=SERIES_POINTS, size=20)} SELECT g AS series_id, CAST(step - 1 AS INTEGER) AS place, round(c[1], 6) + 0.0 AS x, round(c[2], 6) + 0.0 AS y, round(c[3], 6) + 0.0 AS z FROM picked JOIN p USING (g, i)""")
+def t2_farthest_points(spark, sf_dir):
+    """The 20 farthest points of each series' cloud in the order they are chosen; the greedy choice as a recursive query."""
+    got = clouds.maxmin_sample(embedding.embed(vector_series(spark, sf_dir), 4, 3, 1), F.lit(20)).select("series_id", F.posexplode("points").alias("place", "p"))
+    return got.select("series_id", "place", *(r6(F.get("p", F.lit(k))).alias(n) for k, n in enumerate("xyz")))
+
+
+CLASS_POINTS = SERIES + """, raw AS (SELECT label AS g, series_id, i, [v[3 * i + 1], v[3 * i + 5], v[3 * i + 9]] AS c FROM series, generate_series(0, 18) s(i)),
+p AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY series_id, i) AS i, series_id, c, md5(concat('0:', g, ':', series_id, ':', i)) AS o FROM raw), first AS (SELECT g, arg_min(i, o) AS i, arg_min(c, o) AS c FROM p GROUP BY g)"""
+
+
+@query(f"""WITH {GREEDY.format(points=CLASS_POINTS, size=40)}, sums AS (SELECT g, count(*) AS n, count(DISTINCT series_id) AS owners, round(sum(c[1] * step), 4) + 0.0 AS total FROM picked JOIN p USING (g, i) GROUP BY 1)
+SELECT CAST(g AS INTEGER) AS label, n, owners + 1 AS subclouds, total FROM sums""")
+def t6_farthest_subclouds(spark, sf_dir):
+    """Of each class's 40 farthest points: a sum that tells their order, and how many subclouds there are, the class's and those of series that own a point."""
+    pool = clouds.pooled(embedding.embed(vector_series(spark, sf_dir), 4, 3, 3))
+    sizes = pool.select("label").distinct().withColumn("size", F.lit(40))
+    got = clouds.class_subclouds(pool, sizes)
+    total = F.aggregate(F.transform("points", lambda p, k: F.get(p, F.lit(0)) * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    counted = got.groupBy("label").agg(F.count("*").alias("subclouds"))
+    whole = got.where("exclude_series is null").select("label", F.size("points").cast("long").alias("n"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
+    return whole.join(counted, "label").select("label", "n", "subclouds", "total")
+
+
+@query("""WITH n AS (SELECT DISTINCT label, 4 + 3 * label AS length FROM embeddings), grid AS (SELECT * FROM n, generate_series(1, 4) a(t), generate_series(1, 10) b(d), generate_series(1, 3) c(s) WHERE (d - 1) * t + 1 <= length),
+best AS (SELECT label, length, arg_max({'t': t, 'd': d, 's': s}, [CASE WHEN (length - (d - 1) * t - 1) // s >= 5 THEN 1 ELSE 0 END, s, d, t]) AS b FROM grid GROUP BY ALL)
+SELECT e.label, CAST(b.t AS INTEGER) AS tau, CAST(b.d AS INTEGER) AS m, CAST(b.s AS INTEGER) AS stride, sum((length - (b.d - 1) * b.t - 1) // b.s + 1)::BIGINT AS points FROM embeddings e JOIN best USING (label) GROUP BY ALL""")
+def f8_embedding_stage(spark, sf_dir):
+    """The embedding that fitting settles on for a dataset of each class's series, cut to between 4 and 31 values, and the points it gives."""
+    s, out = vector_series(spark, sf_dir), None
+    for (label,) in s.select("label").distinct().collect():
+        rows = s.where(F.col("label") == label).withColumn("values", F.slice("values", 1, 4 + 3 * label))
+        c = class_features.fit_embedding(rows, class_features.LITE)
+        points = embedding.embed(rows, c.tau, c.m, c.stride).agg(F.sum(F.size("points")).alias("points"))
+        row = points.select(F.lit(label).alias("label"), *(F.lit(x).alias(n) for n, x in (("tau", c.tau), ("m", c.m), ("stride", c.stride))), "points")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query()
 def x1_cross_barcodes_h0(spark, sf_dir):
     got = barcodes.cross_barcodes(small_clouds(spark, sf_dir), ["series_id", "class_label"])

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace text, a series a line: the label, then the values. series_id is a hash of file and line: equal lines of a file share it.
+    """Whitespace text, a series a line: the label, then the values. series_id is a hash of file, line, and which of its equals a line is.
+
+    Equal lines are counted, and come out numbered: they have nothing else that tells them apart, so which is which does not matter, and every line is a series of its own under any split of the file.
 
     Adds split: TRAIN or TEST where the file's name ends so (before .txt), else null.
     """
     lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_name")).where(F.trim("value") != "")
+    lines = lines.groupBy("file", "value").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     fields = F.split(F.trim("value"), r"\s+")
     numbers = F.transform(fields, lambda x: x.cast("double"))
     return lines.select(
-        F.xxhash64("file", "value").alias("series_id"),
+        F.xxhash64("file", "value", "copy").alias("series_id"),
         F.element_at(numbers, 1).cast("int").alias("label"),
         F.slice(numbers, F.lit(2), F.greatest(F.size(numbers) - 1, F.lit(0))).alias("values"),
         F.nullif(F.regexp_extract("file", r"_(TRAIN|TEST)\.txt$", 1), F.lit("")).alias("split"),
