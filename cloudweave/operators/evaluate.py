@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudweave.operators.boosting import BoostedTrees
 from cloudweave.operators.ordering import md5_of, ranked
 
 
@@ -68,6 +69,11 @@ def boosted(depth: int = 3, iterations: int = 100, seed: int = 0) -> OneVsRest:
     return OneVsRest(classifier=GBTClassifier(maxDepth=depth, maxIter=iterations, seed=seed, labelCol="_index", featuresCol="features"), labelCol="_index", featuresCol="features")
 
 
+def boosted_softmax(iterations: int = 100, depth: int = 3) -> BoostedTrees:
+    """Boosted trees of all classes at once."""
+    return BoostedTrees(iterations, depth)
+
+
 class Classifier:
     """An estimator over integer labels: classes are sorted, and an index is a place among them."""
 

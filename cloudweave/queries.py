@@ -906,6 +906,22 @@ def x2_cross_barcodes_h1(spark, sf_dir):
     return barcodes.slots(got, ["series_id", "class_label"], (1,)).select("series_id", "class_label", "direction", F.size("bars").alias("n_bars"), F.aggregate("bars", F.lit(0.0), lambda a, b: a + b["death"] - b["birth"]).alias("total"))
 
 
+FOUR = SERIES + """, p AS (SELECT series_id, k, [v[16 * k + 1], v[16 * k + 2], v[16 * k + 3]] AS c FROM series, generate_series(0, 3) g(k)),
+d AS (SELECT a.series_id, max(CASE WHEN a.k = 0 AND b.k = 1 THEN e END) AS d01, max(CASE WHEN a.k = 0 AND b.k = 2 THEN e END) AS d02, max(CASE WHEN a.k = 0 AND b.k = 3 THEN e END) AS d03, max(CASE WHEN a.k = 1 AND b.k = 2 THEN e END) AS d12, max(CASE WHEN a.k = 1 AND b.k = 3 THEN e END) AS d13, max(CASE WHEN a.k = 2 AND b.k = 3 THEN e END) AS d23
+FROM p a JOIN p b ON a.series_id = b.series_id AND a.k < b.k, LATERAL (SELECT sqrt((a.c[1] - b.c[1]) ** 2 + (a.c[2] - b.c[2]) ** 2 + (a.c[3] - b.c[3]) ** 2) AS e) GROUP BY 1),
+rings AS (SELECT series_id, greatest(d01, d12, d23, d03) AS birth, least(d02, d13) AS death FROM d UNION ALL SELECT series_id, greatest(d02, d12, d13, d03), least(d01, d23) FROM d UNION ALL SELECT series_id, greatest(d01, d13, d23, d02), least(d03, d12) FROM d)"""
+
+
+@query(f"WITH {FOUR} SELECT series_id, round(birth, 6) + 0.0 AS birth, round(death, 6) + 0.0 AS death FROM rings WHERE birth < death")
+def x2_four_points(spark, sf_dir):
+    """Four points have a loop if one way round them is shorter, at its longest, than both ways across; a far class adds none."""
+    v = F.col("values")
+    four = F.array(*(F.slice(v, 16 * k + 1, 3) for k in range(4)))
+    met = vector_series(spark, sf_dir).select("series_id", four.alias("points"), F.array(F.array(*[F.lit(1000.0)] * 3)).alias("class_points"))
+    got = barcodes.slots(barcodes.cross_barcodes(met, ["series_id"], True), ["series_id"], (1,))
+    return got.select("series_id", F.explode("bars").alias("b")).select("series_id", r6("b.birth").alias("birth"), r6("b.death").alias("death"))
+
+
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     test = sources.is_test(F.col("series_id"))
     return rows.where(~test), rows.where(test)
@@ -1001,6 +1017,14 @@ def e11_stacking(spark, sf_dir):
     return evaluate.stack(train, test, [c for c in table_.columns if c.startswith("p_")], evaluate.logistic(100)).select("series_id", "label", "prediction")
 
 
+@query()
+def e11_boosted_stacking(spark, sf_dir):
+    """The stack of three modules' probabilities, boosted over all ten classes at once (10 rounds)."""
+    table_ = evaluate.stacking_matrix(proba(spark, sf_dir), ["series_id", "label"], MODULES, list(range(10)))
+    train, test = _split(table_)
+    return evaluate.stack(train, test, [c for c in table_.columns if c.startswith("p_")], evaluate.boosted_softmax(10)).select("series_id", "label", "prediction")
+
+
 @query()
 def e12_permutation_importance(spark, sf_dir):
     train, test = _split(experiments.vectors(vector_series(spark, sf_dir), ["signature"]))
