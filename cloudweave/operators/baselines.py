@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudweave.functions import catch22 as c22
+from cloudweave.functions import dynamics as dyn
 from cloudweave.functions import kernels
 
 
@@ -96,6 +97,22 @@ def spectrum(series: DataFrame, coefficients: int = 8) -> DataFrame:
     return _per_series(series, f, [f"fft_{k}" for k in range(coefficients)])
 
 
+def dynamics(series: DataFrame, order: int = 4) -> DataFrame:
+    """Autoregression, Lempel-Ziv complexity, permutation entropy, wavelet peaks and a unit-root statistic of each series; a batch's series of one length are done at once."""
+    names = dyn.names(order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = np.zeros((len(batch), len(names)))
+            lengths = batch["values"].map(len).to_numpy()
+            for n in np.unique(lengths[lengths > 0]):
+                at = np.flatnonzero(lengths == n)
+                found[at] = dyn.dynamics(np.stack(batch["values"].iloc[at].to_list()).astype(float), order)
+            yield pd.concat([batch[["series_id"]].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+
+    return series.select("series_id", "values").mapInPandas(run, "series_id long, " + ", ".join(f"{n} double" for n in names))
+
+
 def canonical(series: DataFrame) -> DataFrame:
     """The 22 canonical features of each series."""
     return _per_series(series, c22.catch22, list(c22.NAMES))
@@ -147,7 +164,7 @@ def cloud_signature(embedded: DataFrame, dims: int = 3) -> DataFrame:
 
 
 #: Generators by name: each takes the series table and gives series_id and feature columns.
-GENERATORS = {"statistics": descriptive, "spectrum": spectrum, "catch22": canonical, "signature": signature}
+GENERATORS = {"statistics": descriptive, "spectrum": spectrum, "dynamics": dynamics, "catch22": canonical, "signature": signature}
 
 
 def generator(name: str):

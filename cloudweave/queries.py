@@ -538,6 +538,21 @@ def g4_path_signature(spark, sf_dir):
     return got.select("series_id", *(r6(c).alias(c) for c in got.columns[1:]))
 
 
+@query(f"""WITH {SERIES}, c AS (SELECT series_id, v, list_transform(v, lambda x: x - list_avg(v)) AS c FROM series),
+r AS (SELECT series_id, list_sum(list_transform(c, lambda x: x * x)) / 64 AS r0, list_sum(list_transform(generate_series(1, 63), lambda i: c[i] * c[i + 1])) / 64 AS r1, list_sum(list_transform(generate_series(1, 62), lambda i: c[i] * c[i + 2])) / 64 AS r2 FROM c),
+o AS (SELECT series_id, (v[i] <= v[i + 1])::INT * 4 + (v[i + 1] <= v[i + 2])::INT * 2 + (v[i] <= v[i + 2])::INT AS o FROM series, generate_series(1, 62) g(i)),
+e AS (SELECT series_id, -sum(n / 62.0 * ln(n / 62.0)) AS e FROM (SELECT series_id, o, count(*) AS n FROM o GROUP BY 1, 2) GROUP BY 1)
+SELECT series_id, round(r1 * (r0 - r2) / (r0 * r0 - r1 * r1), 6) + 0.0 AS ar_1, round((r0 * r2 - r1 * r1) / (r0 * r0 - r1 * r1), 6) + 0.0 AS ar_2, round(e, 6) + 0.0 AS permutation_entropy FROM r JOIN e USING (series_id)""")
+def g1_dynamics(spark, sf_dir):
+    """Two autoregression coefficients and the entropy of orders of three."""
+    return baselines.dynamics(vector_series(spark, sf_dir), 2).select("series_id", *(r6(c).alias(c) for c in ("ar_1", "ar_2", "permutation_entropy")))
+
+
+@query()
+def g1_all_dynamics(spark, sf_dir):
+    return baselines.dynamics(event_series(spark, sf_dir))
+
+
 @query(f"""WITH {SERIES}, p AS (SELECT series_id, i, [v[i], v[i + 4], v[i + 8]] AS c FROM series, generate_series(1, 56) g(i)),
 d AS (SELECT series_id, i, list_transform([1, 2, 3], lambda k: c[k] - lag(c) OVER w [k]) AS d, list_transform([1, 2, 3], lambda k: lag(c) OVER w [k] - first_value(c) OVER w [k]) AS s FROM p WINDOW w AS (PARTITION BY series_id ORDER BY i)),
 t AS (SELECT series_id, a, b, sum(s[a] * d[b] + d[a] * d[b] / 2) AS s2, sum(d[a]) AS x, sum(d[b]) AS y FROM d, generate_series(1, 3) g(a), generate_series(1, 3) h(b) WHERE d[1] IS NOT NULL GROUP BY 1, 2, 3)
@@ -1055,6 +1070,18 @@ def e14_class_grid(spark, sf_dir):
     return experiments.grid({"vectors": (train, test)}, [0], _methods(spark), trees=20, k=2)
 
 
+@query()
+def e14_fusion_grid(spark, sf_dir):
+    """Two combinations of modules over two seeds: weighted and stacked, from out-of-fold probabilities, scored on unseen series."""
+    train, test = _split(vector_series(spark, sf_dir))
+
+    def methods(a: DataFrame, b: DataFrame, seed: int) -> dict[str, tuple[DataFrame, DataFrame]]:
+        return {n: (experiments.vectors(a, [n]), experiments.vectors(b, [n])) for n in ("statistics", "signature", "dynamics")}
+
+    combos = {"statistics+signature": ["statistics", "signature"], "statistics+dynamics": ["statistics", "dynamics"]}
+    return experiments.fusion_grid({"vectors": (train, test)}, [0, 1], methods, combos, work_dir(spark), {"LR": evaluate.logistic(20)}, trees=20, k=2)
+
+
 @query()
 def e14_fusion(spark, sf_dir):
     return experiments.fusion(proba(spark, sf_dir), MODULES, ["series_id"])
