@@ -135,4 +135,4 @@ def dynamical(rows: DataFrame, dimension: DataFrame, kinds: tuple[str, ...] = DY
 
 def block_features(features: DataFrame, meta: DataFrame, block: str) -> DataFrame:
     """Long features (series_id, feature, value) of one block."""
-    return features.join(F.broadcast(meta.where(F.col("block") == block).select("feature")), "feature")
+    return features.join(meta.where(F.col("block") == block).select("feature"), "feature")

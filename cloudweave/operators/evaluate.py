@@ -56,7 +56,7 @@ def stacking_matrix(proba: DataFrame, keys: list[str], modules: list[str], class
     return proba.groupBy(*keys).agg(*cells)
 
 
-def random_forest(trees: int = 200, depth: int = 10, seed: int = 0) -> RandomForestClassifier:
+def random_forest(trees: int = 200, depth: int = 30, seed: int = 0) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="_index", featuresCol="features")
 
 
@@ -156,7 +156,7 @@ def impurity_importance(model: Classifier, meta: DataFrame) -> DataFrame:
     """meta (position, ...) with the model's own importances; it has no deviation."""
     rows = [(i, float(v)) for i, v in enumerate(model.model.featureImportances.toArray())]
     found = meta.sparkSession.createDataFrame(rows, "position int, importance double")
-    return meta.join(F.broadcast(found), "position").withColumn("importance_std", F.lit(float("nan")))
+    return meta.join(found, "position").withColumn("importance_std", F.lit(float("nan")))
 
 
 def probability_rows(table: DataFrame, values: Column, modules: list[str], classes: int) -> DataFrame:

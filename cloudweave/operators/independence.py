@@ -39,7 +39,7 @@ def standardised(rows: DataFrame, column: str) -> DataFrame:
     mean = F.col("s") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
     scale = rest.select("slot", "fold", mean.alias("mean"), F.when(spread > 1e-12, spread).otherwise(1.0).alias("scale"))
-    return long.join(F.broadcast(scale), ["slot", "fold"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("scale"))
+    return long.join(scale, ["slot", "fold"]).withColumn("z", (F.col("value") - F.col("mean")) / F.col("scale"))
 
 
 def capped_pca(rows: DataFrame, column: str, train: Column | None = None, most: int = 20) -> DataFrame:

@@ -34,5 +34,5 @@ def in_order(summary: DataFrame, order: DataFrame, sources: DataFrame, columns:
     sources: (dataset, source_rank, *columns).
     """
     meta = sources.groupBy("dataset").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("source_rank"))).alias(c) for c in columns))
-    joined = summary.join(F.broadcast(order), "dataset", "left").join(meta, "dataset", "left")
+    joined = summary.join(order, "dataset", "left").join(meta, "dataset", "left")
     return joined.withColumn("rank", F.when(F.col("dataset") == "MEAN", F.lit(None).cast("int")).otherwise(F.col("rank"))).orderBy(F.asc_nulls_last("rank"), "dataset")

@@ -441,7 +441,7 @@ def f5_membership_kde(spark, sf_dir):
 def f6_missing_density(spark, sf_dir):
     rows = variation(spark, sf_dir)
     known = rows.where("label < 5")
-    tails = density.ecdf_tail(rows.join(F.broadcast(known.select("label").distinct()), "label"), known.select("label", "value"), ["label"]).select("series_id", "tail")
+    tails = density.ecdf_tail(rows.join(known.select("label").distinct(), "label"), known.select("label", "value"), ["label"]).select("series_id", "tail")
     return rows.join(tails, "series_id", "left").select("series_id", r6(features.membership()).alias("membership"))
 
 
