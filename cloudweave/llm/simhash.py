@@ -34,6 +34,9 @@ WORDS, SEED, ERRORS = 3, 42, 3
 #: Rows of a list that is searched as it is; levels that longer ones are dealt again on, after which about 6 bits are open.
 LIST, LEVELS = 2048, 8
 
+#: One row in so many, and a fingerprint's rows are not gathered.
+FREQUENT = 1000
+
 # Fixed values of XXH64: its five primes.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: Fixed value: the generator polynomial of the Golay code of 23 bits, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -288,7 +291,7 @@ def near_duplicates(docs: DataFrame, limit: int = LIST) -> DataFrame:
 
     prints = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text()).mapInArrow(run, "doc_id long, fp long"))
     known = prints.where("doc_id is not null")
-    classes = common.materialize(known.groupBy("fp").agg(F.min("doc_id").alias("root")))
+    classes = common.materialize(known.groupBy("fp").agg(F.min("doc_id").alias("root"), F.count("*").alias("c")))
     found = links(classes.select("fp"), limit)
     # Fingerprints that one doc_id has in several rows are joined by it.
     several = known.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
@@ -296,6 +299,8 @@ def near_duplicates(docs: DataFrame, limit: int = LIST) -> DataFrame:
     joined = classes.join(components(found).withColumnRenamed("id", "fp"), "fp")
     least = joined.groupBy("component").agg(F.min("root").alias("component_id"))
     moved = joined.join(least, "component").where("component_id < root").select("fp", "component_id")
-    placed = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "root").alias("component_id"))
-    out = prints.join(placed, "fp", "left")
+    placed = classes.join(moved, "fp", "left").select("fp", "c", F.coalesce("component_id", "root").alias("component_id"))
+    # A fingerprint of a thousandth of all rows or more would gather in one task; there are a thousand of them at most.
+    many = F.broadcast(placed.where(F.col("c") * FREQUENT >= known.count()).select("fp", "component_id"))
+    out = prints.join(many, "fp").unionByName(prints.join(many, "fp", "left_anti").join(placed.select("fp", "component_id"), "fp", "left"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
