@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy step holds.
 CHUNK_BYTES = 1 << 20
-#: Spark's setting by which a query's shuffle files are deleted once it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings for the write of a table in between: a query's shuffle files are deleted once it has ended, and Python
+#: workers get texts by so many rows, since each holds a batch, and what it makes of it, whole.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -49,16 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives executors.
 
-    The write's shuffle files, which nothing reads again, go when it ends; the session's setting is put back.
+    The write's shuffle files, which nothing reads again, go when it ends; the session's settings (WRITING) are put back.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 
