@@ -142,7 +142,7 @@ def _sequences(held: list[tuple[int | None, bytes]], window: int, pad: int, base
 
 
 def write(docs: DataFrame, path: str, conf: Config = Config()) -> None:
-    """The sequences as Parquet; ids and positions as little-endian 32-bit binary, ready for np.frombuffer."""
+    """The sequences as Parquet; ids and positions as little-endian 32-bit binary, ready for np.frombuffer. Rows as matrices gives them; an empty table writes none."""
     packed = matrices(docs, conf)
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,11 @@ def write(docs: DataFrame, path: str, conf: Config = Config()) -> None:
 
 
 def digests(docs: DataFrame, conf: Config = Config()) -> DataFrame:
-    """A row for each packed segment, checked against the matrices: doc_id, start, length, sequence_id, offset, ids_crc32, positions_ok."""
+    """A row for each packed segment, checked against the matrices: doc_id, start, length, sequence_id, offset, ids_crc32, positions_ok.
+
+    Null and empty texts are the end id alone; rows of one id are packed each, and a null id stays null. An empty table gives no
+    rows. Other columns play no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -296,7 +296,11 @@ def dedup(docs: DataFrame, **limits: int) -> DataFrame:
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
-    """docs with what is left of each text; a character that a cut divides is dropped. A null text stays null."""
+    """docs with what is left of each text; a character that a cut divides is dropped.
+
+    A null text stays null, an empty one empty. All places of a repeated string are cut, so of equal rows, with one id or several, none keeps a text of 200
+    bytes or more. An empty table stays empty; other columns stay as they are, whatever their names.
+    """
     names = docs.columns
     own = common.fresh(docs, "_id", "_text", "_spans")
 
