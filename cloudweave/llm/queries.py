@@ -79,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": TOP_K_SQL, "op6_jaccard_join": JACCARD_SQL, "op11_importance_resampling": RESAMPLING_SQL}
+    return {"op4_top_k": TOP_K_SQL, "op6_jaccard_join": JACCARD_SQL, "op11_importance_resampling": RESAMPLING_SQL, "op12_simhash_golay": SIMHASH_SQL}
 
 
 TOP_K_SQL = """
@@ -142,3 +142,54 @@ WITH words AS (
 )
 SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (k)
 """
+
+
+def _xxh64_sql(b: str, n: str, seed: int) -> str:
+    """XXH64, as a 128-bit unsigned number, of the list of bytes b of length n."""
+    whole, (p1, p2, p3, p4, p5) = 2**64, ((f"{int(p)}::UHUGEINT") for p in simhash.PRIMES)
+    times = lambda x, y: f"(({x}) * {y} % {whole}::UHUGEINT)"
+    plus = lambda *x: f"(({' + '.join(x)}) % {whole}::UHUGEINT)"
+    first = lambda k: f"{k % whole}::UHUGEINT"
+    # A rotation names its operand twice, so it goes through a list of one.
+    turn = lambda x, r: f"list_transform([{x}], lambda t: (t * {2**r}::UHUGEINT) % {whole}::UHUGEINT + t // {2 ** (64 - r)}::UHUGEINT)[1]"
+    shift = lambda x, r, p: f"list_transform([{x}], lambda t: (xor(t, t // {2**r}::UHUGEINT) * {p}) % {whole}::UHUGEINT)[1]"
+    lane = lambda at, size=8: " + ".join(f"{b}[{at} + {i + 1}]::UHUGEINT * {256**i}::UHUGEINT" for i in range(size))
+    turned = lambda acc, x: times(turn(plus(acc, times(x, p2)), 31), p1)
+    P1, P2 = (int(p) for p in simhash.PRIMES[:2])
+    starts = (seed + P1 + P2, seed + P2, seed, seed - P1)
+    stripes = lambda j: f"list_transform(generate_series(0, {n} // 32 - 1), lambda s: {lane(f'32 * s + {8 * j}')})"
+    accs = [f"list_reduce({stripes(j)}, lambda acc, x: {turned('acc', 'x')}, {first(k)})" for j, k in enumerate(starts)]
+    merged = f"list_reduce(a, lambda acc, x: {plus(times(f'xor(acc, {turned(first(0), chr(120))})', p1), p4)}, {plus(*(turn(f'a[{j + 1}]', r) for j, r in enumerate((1, 7, 12, 18))))})"
+    begun = f"CASE WHEN {n} >= 32 THEN list_transform([[{', '.join(accs)}]], lambda a: {merged})[1] ELSE {first(seed + int(simhash.PRIMES[4]))} END"
+    h = plus(begun, f"{n}::UHUGEINT")
+    at = f"({n} // 32 * 32)"
+    h = f"list_reduce(list_transform(generate_series(0, {n} % 32 // 8 - 1), lambda s: {lane(f'{at} + 8 * s')}), lambda acc, x: {plus(times(turn(f'xor(acc, {turned(first(0), chr(120))})', 27), p1), p4)}, {h})"
+    h = f"list_reduce(list_transform(generate_series(0, {n} % 8 // 4 - 1), lambda s: {lane(f'({n} // 8 * 8)', 4)}), lambda acc, x: {plus(times(turn(f'xor(acc, {times(chr(120), p1)})', 23), p2), p3)}, {h})"
+    h = f"list_reduce(list_transform(generate_series({n} // 4 * 4 + 1, {n}), lambda s: {b}[s]::UHUGEINT), lambda acc, x: {times(turn(f'xor(acc, {times(chr(120), p5)})', 11), p1)}, {h})"
+    h = shift(shift(h, 33, p2), 29, p3)
+    return f"list_transform([{h}], lambda t: xor(t, t // {2**32}::UHUGEINT))[1]"
+
+
+SIMHASH_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT k, unnest(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), bytes AS (
+  SELECT s, list_transform(generate_series(1, 2 * octet_length(encode(s)) - 1, 2), lambda i: CAST('0x' || substr(hex(encode(s)), i, 2) AS INTEGER)) AS b, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM shingles)
+), hashed AS (SELECT s, {_xxh64_sql("b", "n", simhash.SEED)} AS h FROM bytes
+), halves AS (SELECT s, CAST(h // 4294967296::UHUGEINT AS BIGINT) AS high, CAST(h % 4294967296::UHUGEINT AS BIGINT) AS low FROM hashed
+), bits AS (
+  SELECT k, i, 2 * sum((high >> i) & 1) > count(*) AS high, 2 * sum((low >> i) & 1) > count(*) AS low FROM shingles JOIN halves USING (s), generate_series(0, 31) g(i) GROUP BY 1, 2
+), prints AS (
+  SELECT w.k, doc_id, CAST(coalesce(sum(CASE WHEN high THEN 1::BIGINT << i ELSE 0 END), 0) AS BIGINT) AS high, CAST(coalesce(sum(CASE WHEN low THEN 1::BIGINT << i ELSE 0 END), 0) AS BIGINT) AS low FROM words w LEFT JOIN bits ON bits.k = w.k GROUP BY 1, 2
+), classes AS (SELECT high, low, min(doc_id) AS root FROM prints WHERE doc_id IS NOT NULL GROUP BY 1, 2
+), links AS (SELECT a.root AS x, b.root AS y FROM classes a JOIN classes b ON a.root <> b.root AND bit_count(xor(a.high, b.high)) + bit_count(xor(a.low, b.low)) <= {simhash.ERRORS}
+), reached AS (
+  SELECT root AS id, root FROM classes
+  UNION
+  SELECT l.y, r.root FROM reached r JOIN links l ON l.x = r.id
+)
+SELECT doc_id, format('{{:08x}}{{:08x}}', p.high, p.low) AS fingerprint, component_id
+FROM prints p JOIN classes c ON p.high = c.high AND p.low = c.low JOIN (SELECT id, min(root) AS component_id FROM reached GROUP BY 1) m ON m.id = c.root
+"""

@@ -38,7 +38,8 @@ LIST, LEVELS = 2048, 8
 FREQUENT = 1000
 
 # Fixed values of XXH64: its five primes.
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in PRIMES)
 #: Fixed value: the generator polynomial of the Golay code of 23 bits, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 
