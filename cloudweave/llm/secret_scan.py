@@ -2,10 +2,10 @@
 
 The forest sees a candidate's length, its character transitions under the corpus's own, how much of it is made of
 the corpus's common words, the document's path (its source) and the neighbouring words: five tests for telling
-ones, and all of them hashed into cells. It learns from labelled findings. Where none are given they come from the corpus: a candidate assigned to a name such as token or
-password is a finding, one that stands in plain text is not; in half of the former (by hash of the value) the
-neighbouring words are withheld, so that the forest learns what secrets look like and not that rule alone.
-What looks random in plain text may be either and trains nothing; so do plain words assigned to a name.
+ones, and all of them hashed into cells. It learns from labelled findings. Where none are given they are planted in the corpus's
+own texts (planting.py): secrets and look-alikes of many kinds, whose labels do not follow from the features.
+Besides, the corpus's own candidates in plain text that do not look random are taken for false positives. What looks
+random there may be either and trains nothing; so does what is assigned to a name.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudweave.llm import common
+from cloudweave.llm import common, planting
 
-#: Labelled findings that train at most (those of least hash); trees, depth; cells of the table of words.
-SAMPLE, TREES, DEPTH, CELLS = 20_000, 30, 6, 1 << 18
+#: Labelled findings that train at most (those of least hash); false positives of the corpus among them; trees, depth; cells of the table of words.
+SAMPLE, OWN, TREES, DEPTH, CELLS = 20_000, 2_000, 40, 10, 1 << 18
 #: Entropy, in bits a character, from which a value looks random; mail and web addresses do not.
 RANDOM, ADDRESS = 2.75, r"^[^@]+@[^@]+\.[A-Za-z]+$|^https?://|^www\."
 
@@ -185,17 +185,21 @@ def candidates(docs: DataFrame, statistics: tuple[np.ndarray, np.ndarray]) -> Da
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings from the corpus, one for each distinct value: FEATURES and label.
+    """False positives of the corpus, one for each distinct value: value, label (0) and FEATURES.
 
-    A value of digits and letters at RANDOM bits a character, without a name or word that tells, has no label.
+    They stand in plain text. A value of digits and letters at RANDOM bits a character has no label.
     """
-    named, digits = (F.col("named") == 1) & (F.col("assigned") == 1), F.col("digits")
+    digits = F.col("digits")
     random = (digits > 0) & (digits + F.col("other") < 1) & (F.col("entropy") >= RANDOM) & ~F.col("value").rlike(ADDRESS)
-    plain = (digits == 0) & (F.col("other") == 0) & (F.col("length") < LONG)
-    label = F.when(F.col("stand_in") == 1, 0.0).when(named, F.when(~plain, 1.0)).when((F.col("named") == 0) & ~random, 0.0)
-    blind = (F.col("label") == 1) & (F.crc32("value") % 2 == 0)
-    rows = found.withColumn("label", label).groupBy("value").agg(F.max("label").alias("label"), *(F.max(n).alias(n) for n in FEATURES)).where("label is not null")
-    return rows.select("value", "label", *STRING, *(F.when(blind, 0.0).otherwise(F.col(n)).alias(n) for n in CONTEXT))
+    rows = found.where((F.col("named") == 0) & ~random).groupBy("value").agg(*(F.max(n).alias(n) for n in FEATURES))
+    return rows.select("value", F.lit(0.0).alias("label"), *FEATURES)
+
+
+def planted_findings(table: DataFrame, statistics: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """value, label, kind and FEATURES of findings planted in table's texts."""
+    made = common.materialize(planting.planted(table))
+    found = candidates(made, statistics).withColumn("length", F.char_length("value").cast("long"))
+    return found.join(made.select("row_key", "start", "length", "label", "kind"), ["row_key", "start", "length"]).select("value", "label", "kind", *FEATURES)
 
 
 def labelled_findings(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,7 +223,7 @@ def fit(labelled: DataFrame):
     if sample.select("label").distinct().count() < 2:
         return None
     sample = sample.repartition(4, "value").sortWithinPartitions("value")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, featuresCol="features", labelCol="label")
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", seed=7, featuresCol="features", labelCol="label")
     return forest.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample))
 
 
@@ -232,8 +236,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 def findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """row_key, doc_id, start, length, value, score, is_secret of every candidate."""
     table = _rows(docs)
-    found = common.materialize(candidates(table, corpus_statistics(table.select("text"))))
-    model = fit(weak_labels(found) if labelled is None else labelled)
+    statistics = corpus_statistics(table.select("text"))
+    found = common.materialize(candidates(table, statistics))
+    if labelled is None:
+        own = weak_labels(found).orderBy(F.md5("value")).limit(OWN)
+        labelled = planted_findings(table, statistics).drop("kind").unionByName(own)
+    model = fit(labelled)
     if model is None:
         scored = found.withColumn("score", F.col("named") * F.col("assigned"))
     else:
