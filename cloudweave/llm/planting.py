@@ -144,13 +144,16 @@ def planted(table: DataFrame, sample: int = SAMPLE, around: int = AROUND, least:
     """row_key, doc_id, path, text, start, length, label, kind: a short text for each planted finding.
 
     table (row_key, path, text): the sample rows of least hash that have text are planted in, around characters from
-    a place that their hash gives. Every kind comes about least times, and at least once a row. Rows repeated
-    count as they are; an empty table, or one without texts, gives none.
+    a place that their hash gives. Every kind comes about least times, and at least once a row. Repeated rows
+    count once; an empty table, or one without texts, gives none.
     """
     size = F.char_length("text")
     place = F.pmod(F.xxhash64("row_key", F.lit("place")), F.greatest(F.lit(1), size - around)).cast("int") + 1
-    some = table.where(size > 0).select("row_key", "path", F.substring("text", place, F.lit(around)).alias("text"))
-    some = common.materialize(some.orderBy(F.xxhash64("row_key"), "row_key").limit(sample))
+    texts = table.where(size > 0)
+    # At most sample keys, so they go with the tasks; only their rows are gathered.
+    keys = texts.select("row_key").distinct().orderBy(F.xxhash64("row_key"), "row_key").limit(sample)
+    texts = texts.join(F.broadcast(keys), "row_key", "left_semi").groupBy("row_key")
+    some = common.materialize(texts.agg(F.min("path").alias("path"), F.min(F.substring("text", place, F.lit(around))).alias("text")))
     rounds = -(-least // max(1, some.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
