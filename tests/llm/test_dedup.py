@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloudweave.llm import jaccard, passages, sorting, substrings
 from tests.llm import brute
@@ -189,7 +190,7 @@ def test_long_lists_are_dealt_in_parts(spark):
     assert {r.part for r in dealt.select("part").distinct().collect()} >= {-1, 0, 1, 2, 3, 4}
     held = whole.collect()
     for near in (1, 2):
-        links = passages._links(passages.windows(docs, hot, 2), near).select("a", "b", "token").collect()
+        links = passages._links(passages.windows(docs, hot, 2).withColumn("group", F.col("doc_id")), near).where("b is not null").select("a", "b", "token").collect()
         assert all(r.a > r.b for r in links)
         for token in {r.token for r in links if r.token in set(tokens.tolist())}:
             group = {i: i for i in range(40)}
@@ -219,6 +220,46 @@ def test_recall_of_changed_passages(spark):
     assert all(a == b + 1 and b % 2 == 0 for a, b in got)
 
 
+def test_variants_of_a_passage_are_one_class(spark):
+    """Classes are those of all links between variants of one passage; longer lists are linked round by round."""
+    rng = random.Random(12)
+    fill = lambda n: [f"f{rng.randrange(10**7)}" for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for size, words, changes in ((200, 60, 2), (300, 80, 4)):
+        passage = fill(words)
+        texts = []
+        for _ in range(size):
+            text = list(passage)
+            for _ in range(rng.randint(1, changes)):
+                text[rng.randrange(words)] = fill(1)[0]
+            texts.append(text)
+        sets = [shingles(t) for t in texts]
+        least = list(range(size))
+        for a in range(size):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    low, high = sorted((least[a], least[b]))
+                    least = [low if x == high else x for x in least]
+        rows = [(i, " ".join(fill(30) + t + fill(30))) for i, t in enumerate(texts)]
+        got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        classes = {d: r.class_id for r in got for d in (r.doc_id, r.other_id)}
+        linked = {i for i in range(size) if least.count(least[i]) > 1}
+        assert len(linked & classes.keys()) >= 0.99 * len(linked), (len(linked), len(linked & classes.keys()))
+        held = linked & classes.keys()
+        # Parts of two texts may be similar where the whole passages are not, so a class may join groups, never split one.
+        assert len({(least[i], classes[i]) for i in held}) == len({least[i] for i in held})
+
+
+def test_odd_tables_of_passages(spark):
+    rng = random.Random(13)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, long, 1), (2, "x " + long, 2), (3, None, 3), (4, "", 4), (None, long, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id int").withColumn("token", F.lit(1)).withColumn("group", F.lit(1))
+    got = passages.near_passages(docs).collect()
+    assert {(r.doc_id, r.other_id, r.class_id) for r in got} == {(2, 1, 1)} and sum(r.n_shingles for r in got) >= 59_990
+    assert passages.near_passages(docs.limit(0)).collect() == []
+
+
 def test_passages_with_repeated_phrases():
     """A shingle of the passage stands elsewhere in the other text too, or the passage stands there twice."""
     own = np.arange(1000, 1070).astype(np.uint32)
