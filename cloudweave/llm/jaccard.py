@@ -317,27 +317,36 @@ def short_pairs(rows: DataFrame, few: int = FEW) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, _PAIRS)
 
 
-def long_pairs(rows: DataFrame, limit: int = LIST) -> DataFrame:
-    """A row for each list and pair in it whose components differ, as far as the length and suffix filters let it.
+def cells(rows: DataFrame, component: str, id_: str, limit: int) -> DataFrame:
+    """rows of lists of several components with i, j, right and outside, dealt and sorted by cell (token, i, j).
 
-    rows: (token, id, size, component, bits). A list is dealt into cells: all its rows by one hash into parts of
-    about limit, those outside its largest component by another, and each part of the former meets each of the
-    latter. So a row of the largest component is copied once for every limit rows outside it.
+    All rows of a list are dealt by one hash into parts of about limit, those outside its largest component by another,
+    and each part of the former (not right) meets each of the latter (right). So a row of the largest component is
+    copied once for every limit rows outside it.
     """
-    counts = rows.groupBy("token", "component").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("token").agg(F.sum("c").alias("total"), F.count("*").alias("several"), F.max(F.struct("c", "component")).alias("main")).where("several > 1")
-    rows = rows.join(mixed, "token").withColumn("outside", F.col("component") != F.col("main.component"))
+    counts = rows.groupBy("token", component).agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("token").agg(F.sum("c").alias("total"), F.count("*").alias("several"), F.max(F.struct("c", component)).alias("main")).where("several > 1")
+    names = rows.columns
+    rows = rows.join(mixed, "token").withColumn("outside", F.col(component) != F.col(f"main.{component}"))
     parts = F.ceil(F.col("total") / limit).cast("int")
     others = F.ceil((F.col("total") - F.col("main.c")) / limit).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    mate = F.pmod(F.xxhash64("id", F.lit(1)), others).cast("int")
+    own = F.pmod(F.xxhash64(id_), parts).cast("int")
+    mate = F.pmod(F.xxhash64(id_, F.lit(1)), others).cast("int")
     left = F.transform(F.sequence(F.lit(0), others - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(False).alias("right")))
     right = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("i"), mate.alias("j"), F.lit(True).alias("right")))
-    cells = rows.withColumn("cell", F.explode(F.when(F.col("outside"), F.concat(left, right)).otherwise(left)))
-    cells = cells.select("token", "cell.i", "cell.j", "cell.right", "outside", "id", "size", "component", "bits")
+    dealt = rows.withColumn("cell", F.explode(F.when(F.col("outside"), F.concat(left, right)).otherwise(left)))
+    return dealt.select("cell.i", "cell.j", "cell.right", "outside", *names).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
+def long_pairs(rows: DataFrame, limit: int = LIST) -> DataFrame:
+    """A row for each list and pair in it whose components differ, as far as the length and suffix filters let it.
+
+    rows: (token, id, size, component, bits).
+    """
+    dealt = cells(rows, "component", "id", limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _cells_of(batches):
+        for table in tables_of_cells(batches):
             right, outside = (table.column(c).to_numpy(zero_copy_only=False) for c in ("right", "outside"))
             id_, size, comp = (table.column(c).to_numpy() for c in ("id", "size", "component"))
             n, pos, words = size >> 32, size & 0xFFFFFFFF, _words(table.column("bits"))
@@ -351,10 +360,10 @@ def long_pairs(rows: DataFrame, limit: int = LIST) -> DataFrame:
                 ok = 7 * differ(words[i], words[j]) <= n[i] + n[j]
                 yield _pair_rows(id_, n, pos, i[ok], j[ok])
 
-    return cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, _PAIRS)
+    return dealt.mapInArrow(run, _PAIRS)
 
 
-def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tables_of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each (token, i, j), which stand together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:

@@ -4,9 +4,10 @@ A document is its sequence of five-word shingles. For each of HASHES hash functi
 shingles' hashes gives compact windows (l, c, r): every subsequence [i, j] with l <= i <= c <= j <= r has the
 hash of c as its min-hash. Only windows that hold LEAST shingles are made, about two for LEAST shingles.
 Windows of one function and one min-hash meet in a list; each is linked with the list's first and with the NEAR
-before it, so with all in short lists, and then, round by round, with windows of other classes. Where windows of ENOUGH
-min-hashes join two documents at one place, the passage is verified: from its first shared shingle to its last it holds LEAST shingles or more and the two
-sets' Jaccard similarity is SIMILAR or more.
+before it, which joins copies to classes at little cost. Then nothing is left out: each document's places where windows of
+ENOUGH functions meet are listed by these min-hashes, and all places of a list that are of different classes are compared.
+Where ENOUGH min-hashes join two documents at one place, the passage is verified: from its first shared shingle to its last
+it holds LEAST shingles or more and the two sets' Jaccard similarity is SIMILAR or more.
 """
 
 from __future__ import annotations
@@ -14,20 +15,19 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudweave.llm import common, graph
+from cloudweave.llm import common, graph, jaccard
 
 WORDS, LEAST, HASHES, ENOUGH, SIMILAR = 5, 46, 6, 3, 0.75
 #: Windows before it in its list that one is linked with.
 NEAR = 2
-#: The same in later rounds, and how many min-hashes must have met there: a pair that shares more seldom meets in all its lists.
-WIDE, MET = 8, 2
+#: Rows of a list that meet in one task, where all do.
+CELL = 512
 #: Lists of about PART windows or more are dealt in parts of that size, as a sample of one document in SAMPLED tells; HOT of them at most.
 PART, SAMPLED, HOT = 1 << 14, 64, 1 << 14
 #: One document in BRIDGE of such a list also stands in a list that joins its parts, about 64 from each part.
@@ -135,19 +135,18 @@ def _hot(docs: DataFrame, size: int = PART, sampled: int = SAMPLED) -> tuple[np.
     return tuple(np.array(rows, np.int64).reshape(-1, 2).T)
 
 
-def _links(lists: DataFrame, near: int = NEAR, turn: int = 0) -> DataFrame:
-    """(a, b, windows of either, token): windows of a and b that met; a > b. Where b is null: a window of a list that may hold more links, its part in lb.
+def _links(lists: DataFrame, near: int = NEAR) -> DataFrame:
+    """(a, b, windows of either, token): windows of a and b that met; a > b. Where b is null: a window of a list of two rows or more.
 
-    Windows of a list stand by group (the component of their document), then by document, in an order that turns with each
-    round after the first. One is linked with the first of its list (or part) and with the near before its group, so never
-    within one. Lists of near + 1 windows are linked whole so; the windows of longer ones are given too. A task holds 2 near + 1
-    windows of a list besides a batch.
+    Windows of a list stand by group, then by document. One is linked with the first of its list (or part) and with the near
+    before its group, so never within one. A window of a list dealt in parts is given too, once, whoever is in its part.
+    A task holds 2 near + 1 windows of a list besides a batch.
     """
     names = ["a", "b", "la", "ca", "ra", "lb", "cb", "rb", "token"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        grown = False  # whether the last list is longer than near + 1
+        grown = False  # whether the last list is longer than one
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -169,23 +168,118 @@ def _links(lists: DataFrame, near: int = NEAR, turn: int = 0) -> DataFrame:
             place = (left, c, right)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[x], doc[y], *(v[x] for v in place), *(v[y] for v in place), token[x])], names=names)
             starts = np.flatnonzero(new)
-            long = np.diff(np.append(starts, n)) > near + 1
+            long = np.diff(np.append(starts, n)) > 1
             long[0] |= grown
-            given = long[np.cumsum(new) - 1]
+            given = long[np.cumsum(new) - 1] & (part == 0)
             given[:old] &= not grown
+            given[old:] |= part[old:] > 0
             more = np.flatnonzero(given)
             none = pa.nulls(len(more), pa.int32())
-            if len(more) and not turn:
-                yield pa.RecordBatch.from_arrays([pa.array(doc[more]), pa.nulls(len(more), pa.int64()), *(pa.array(v[more]) for v in (*place, part)), none, none, pa.array(token[more])], names=names)
+            if len(more):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[more]), pa.nulls(len(more), pa.int64()), *(pa.array(v[more]) for v in place), none, none, none, pa.array(token[more])], names=names)
             grown, begin, start = bool(long[-1]), int(first[-1]), int(own[-1])
             keep = np.unique(np.concatenate([[begin], np.arange(max(begin, start - near), start), np.arange(max(begin, n - near), n)])) if grown else np.arange(begin, n)
             held = [v[keep] for v in columns]
 
-    order = [F.xxhash64("group", F.lit(turn)), "group", F.xxhash64("doc_id", F.lit(turn)), "doc_id"] if turn else ["group", "doc_id"]
-    dealt = lists.repartition("token", "part").sortWithinPartitions("token", "part", *order, "c", "l", "r")
+    dealt = lists.repartition("token", "part").sortWithinPartitions("token", "part", "group", "doc_id", "c", "l", "r")
     return dealt.select("token", "part", "group", "doc_id", "l", "c", "r").mapInArrow(run, "a long, b long, la int, ca int, ra int, lb int, cb int, rb int, token long")
 
 
+def meetings(doc: np.ndarray, token: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray, enough: int = ENOUGH) -> np.ndarray:
+    """The sets of enough windows (by index, a row each) that hold one passage of LEAST shingles with the min-hash of each.
+
+    Windows stand by doc, then by c. Those that do so two by two do so together. Two of one function never do.
+    """
+    far = np.cumsum(np.append(True, doc[1:] != doc[:-1])[: len(doc)]) << 33
+    left, c, right = left + far, c + far, right + far
+
+    def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        apart = (left[y] > c[x]) | (c[y] > right[x]) | (left[x] > c[y]) | (c[x] > right[y]) | (token[x] == token[y])
+        return ~apart & (np.minimum(right[x], right[y]) - np.maximum(left[x], left[y]) + 1 >= LEAST)
+
+    def grow(sets: np.ndarray, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Sets with one more window of other[low:high] that fits all of theirs; POINTS are tried at a time."""
+        counts = np.maximum(high - low, 0)
+        upto, out, at = np.concatenate(([0], np.cumsum(counts))), [sets[:0, :1].repeat(sets.shape[1] + 1, 1)], 0
+        while at < len(sets):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + POINTS, "right")) - 1)
+            own = np.repeat(np.arange(at, end), counts[at:end])
+            y = other[np.arange(len(own)) + np.repeat(low[at:end] - upto[at:end] + upto[at], counts[at:end])]
+            for k in range(sets.shape[1]):
+                ok = fit(sets[own, k], y)
+                own, y = own[ok], y[ok]
+            out.append(np.column_stack([sets[own], y]))
+            at = end
+        return np.concatenate(out)
+
+    each = np.arange(len(c))
+    sets = pairs = grow(each[:, None], each + 1, np.searchsorted(c, right, "right"), each)
+    for _ in range(enough - 2):
+        ends = np.searchsorted(pairs[:, 0], sets[:, 0], "right")
+        after = np.searchsorted(pairs[:, 0] * max(1, len(c)) + pairs[:, 1], sets[:, 0] * max(1, len(c)) + sets[:, -1], "right")
+        sets = grow(sets, after, ends, pairs[:, 1])
+    return sets
+
+
+def _met(left: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(token, doc_id, l, c, r): a row for each place of a document and enough min-hashes that meet there; token mixes these.
+
+    left: (token, doc_id, l, c, r). A task holds a batch and the windows of one document.
+    """
+    names = ["token", "doc_id", "l", "c", "r"]
+
+    def sets(token: np.ndarray, doc: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        fresh = np.append(True, np.logical_or.reduce([v[1:] != v[:-1] for v in (token, doc, left, c, right)]))
+        token, doc, left, c, right = (v[fresh] for v in (token, doc, left, c, right))
+        at = meetings(doc, token, left, c, right, enough)
+        mixed = np.sort(token[at].view(np.uint64), 1)
+        key = np.zeros(len(at), np.uint64)
+        for k in range(enough):
+            key = common.mix(key * common._GOLD + mixed[:, k])
+        places = (left[at].max(1), c[at].min(1), right[at].min(1)) if len(at) else (np.zeros(0, np.int64),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[at[:, 0]]), *(pa.array(v.astype(np.int32)) for v in places)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the last document's windows, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [v.to_numpy().astype(np.int64) for v in batch.columns]
+            if held:
+                columns = [np.concatenate(v) for v in zip(held, columns, strict=True)]
+            done = int(np.searchsorted(columns[1], columns[1][-1]))
+            if done:
+                yield sets(*(v[:done] for v in columns))
+            held = [v[done:] for v in columns]
+        if held:
+            yield sets(*held)
+
+    dealt = left.select(*names).repartition("doc_id").sortWithinPartitions("doc_id", "c", "l", "r", "token")
+    return dealt.mapInArrow(run, "token long, doc_id long, l int, c int, r int")
+
+
+def _all_links(rows: DataFrame, limit: int = CELL) -> DataFrame:
+    """(a, b, windows of either, token): every two rows of a list whose groups differ; a > b. rows: (token, group, doc_id, l, c, r)."""
+    names = ["a", "b", "la", "ca", "ra", "lb", "cb", "rb", "token"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in jaccard.tables_of_cells(batches):
+            right, outside = (table.column(v).to_numpy(zero_copy_only=False) for v in ("right", "outside"))
+            token, group, doc = (table.column(v).to_numpy() for v in ("token", "group", "doc_id"))
+            place = [table.column(v).to_numpy() for v in ("l", "c", "r")]
+            x, y = np.flatnonzero(~right), np.flatnonzero(right)
+            for at in range(0, len(x), 256):
+                p = x[at : at + 256]
+                # Two rows outside the largest group meet in two cells.
+                i, j = np.nonzero((group[p, None] != group[y]) & (~outside[p, None] | (doc[p, None] < doc[y])))
+                i, j = p[i], y[j]
+                up = doc[i] > doc[j]
+                i, j = np.where(up, i, j), np.where(up, j, i)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[i], doc[j], *(v[i] for v in place), *(v[j] for v in place), token[i])], names=names)
+
+    return jaccard.cells(rows, "group", "doc_id", limit).mapInArrow(run, "a long, b long, la int, ca int, ra int, lb int, cb int, rb int, token long")
+
+
 def _places(links: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """(a, b, la, ra, lb, rb): where windows of enough min-hashes join two documents, along neighbouring diagonals.
 
@@ -466,29 +560,25 @@ def near_passages(docs: DataFrame) -> DataFrame:
     doc_id, other_id (the smaller id), start and n_shingles in doc_id, other_start and other_n_shingles,
     similarity, class_id (the smallest doc_id that passages reach: the membership of both documents).
     Copies are linked with one of theirs that came first and with their neighbour, not all with all; their class joins them.
-    After the first round, lists that hold several classes are linked across these, in a new order each round, until a
-    round joins no two. Words are lower-cased (A-Z). Null, empty and short texts have no passages; a null doc_id takes no part;
+    Then all windows of lists that hold several classes are compared across these: any two places of different classes
+    that ENOUGH min-hashes share are verified. Words are lower-cased (A-Z). Null, empty and short texts have no passages; a null doc_id takes no part;
     rows that repeat a doc_id are one document for linking, and their passages are verified against either
     text. An empty table gives no rows. Other columns play no part.
     """
     table = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text())
     met = common.materialize(_links(windows(table, _hot(table)).withColumn("group", F.col("doc_id"))))
     places = common.materialize(_places(met.where("b is not null")))
-    tables, compared = [common.materialize(_verify(places, table))], [places]
+    tables = [common.materialize(_verify(places, table))]
     groups = _groups(tables[0])
-    windows_left = met.where("b is null").select("token", F.col("lb").alias("part"), F.col("a").alias("doc_id"), F.col("la").alias("l"), F.col("ca").alias("c"), F.col("ra").alias("r"))
     grouped = lambda lists: lists.join(groups, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
-    left = common.materialize(_mixed(grouped(windows_left)).drop("group"))
-    common.discard(met)
-    for turn in count(1):
-        # What an earlier round compared is not compared again.
-        met = _places(_links(grouped(left), WIDE, turn), MET)
-        compared.append(common.materialize(met.join(reduce(DataFrame.union, compared), met.columns, "left_anti")))
-        tables.append(common.materialize(_verify(compared[-1], table)))
-        if tables[-1].isEmpty():  # links are across classes, so each passage joins two
-            break
-        found = reduce(DataFrame.union, tables)
+    more = met.where("b is null").select("token", F.col("a").alias("doc_id"), F.col("la").alias("l"), F.col("ca").alias("c"), F.col("ra").alias("r"))
+    left = common.materialize(_met(_mixed(grouped(more))))
+    common.discard(met, places)
+    rest = common.materialize(_places(_all_links(grouped(left)), 1))
+    tables.append(common.materialize(_verify(rest, table)))
+    common.discard(left, rest)
+    found = reduce(DataFrame.union, tables)
+    if not tables[1].isEmpty():
         common.discard(groups)
         groups = _groups(found)
-    common.discard(left, *compared)
-    return reduce(DataFrame.union, tables).join(groups, "doc_id").withColumnRenamed("group", "class_id").select(*tables[0].columns, "class_id")
+    return found.join(groups, "doc_id").withColumnRenamed("group", "class_id").select(*tables[0].columns, "class_id")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -250,6 +251,39 @@ def test_variants_of_a_passage_are_one_class(spark):
         assert len({(least[i], classes[i]) for i in held}) == len({least[i] for i in held})
 
 
+def test_pairs_among_a_common_line_are_found(spark):
+    """Copies of a passage that mostly is a line of all documents: its lists are long, and no pair of them is left out."""
+    rng = random.Random(21)
+    fill = lambda n: [f"f{rng.randrange(10**7)}" for _ in range(n)]
+    line, rows = fill(40), []
+    for k in range(200):
+        passage = line + fill(10)
+        rows += [(k + 1000 * i, " ".join(fill(40) + passage + fill(40))) for i in range(2 if k < 20 else 1)]
+    rng.shuffle(rows)
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id, r.class_id) for r in got} == {(1000 + k, k, k) for k in range(20)}
+
+
+def test_meetings_equal_their_definition():
+    rng = np.random.default_rng(22)
+    found = 0
+    for _ in range(20):
+        n = int(rng.integers(0, 30))
+        doc, c, token = np.sort(rng.integers(0, 3, n)), rng.integers(0, 150, n), rng.integers(0, 20, n)
+        by = np.lexsort((c, doc))
+        doc, c = doc[by], c[by]
+        left, right = c - rng.integers(0, 80, n), c + rng.integers(0, 80, n)
+        for enough in (2, 3):
+            want = set()
+            for at in map(list, itertools.combinations(range(n), enough)):
+                low, high = left[at].max(), right[at].min()
+                if len(set(doc[at])) == 1 and len(set(token[at])) == enough and low <= c[at].min() and c[at].max() <= high and high - low + 1 >= passages.LEAST:
+                    want.add(tuple(at))
+            assert {tuple(x) for x in passages.meetings(doc, token, left, c, right, enough).tolist()} == want
+            found += len(want)
+    assert found > 100
+
+
 def test_odd_tables_of_passages(spark):
     rng = random.Random(13)
     long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
