@@ -38,7 +38,7 @@ BUCKETS, RANGES, LIST, KEPT = 1 << 22, 16, 512, 6
 #: that a round verifies, rounds.
 FEW, NEAR, BEST, ROUNDS = 4, 2, 2, 2
 #: Bits of a set's parity map; cells of the table of sets that verification reads.
-BITS, WANTED = 512, 1 << 27
+BITS, WANTED = 2048, 1 << 27
 
 
 _SEEDS = common.mix(np.arange(1, 3, dtype=np.uint64))
@@ -79,9 +79,9 @@ def parities(flat: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _words(column: pa.Array) -> np.ndarray:
-    """Binary rows of BITS bits as a matrix of words."""
+    """Binary rows of equal length as a matrix of words."""
     data, _ = common.text_bytes(column)
-    return data[:-16].view(np.uint64).reshape(len(column), BITS // 64)
+    return data[:-16].view(np.uint64).reshape(len(column), -1 if len(column) else BITS // 64)
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
@@ -286,12 +286,37 @@ def star_pairs(rows: DataFrame, near: int = NEAR, best: int = BEST) -> DataFrame
     return found.withColumn("_r", F.row_number().over(closest)).where(F.col("_r") <= best).select("a", "b")
 
 
-_PAIRS = "a long, b long, room long, least long"
+_PAIRS = "a long, b long, room long, least long, c long"
+#: Rows of pairs that a task adds up at a time.
+HELD = 1 << 18
 
 
 def _pair_rows(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    columns = (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), room(n[i], pos[i], n[j], pos[j]), least_count(n[i], n[j]))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "room", "least"])
+    columns = (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), room(n[i], pos[i], n[j], pos[j]), least_count(n[i], n[j]), np.ones(len(i), np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "room", "least", "c"])
+
+
+def added_up(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """The rows of _pair_rows, those of one pair as one with their number in c; most are held at a time."""
+
+    def total(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b, room_, least, c = (np.concatenate(x) for x in zip(*([v.to_numpy() for v in batch.columns] for batch in held), strict=True))
+        by = np.lexsort((b, a))
+        a, b, room_, least, c = (x[by] for x in (a, b, room_, least, c))
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        columns = (a[first], b[first], np.maximum.reduceat(room_, first), np.maximum.reduceat(least, first), np.add.reduceat(c, first))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=held[0].schema.names)
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= most:
+            yield total(held)
+            held, size = [], 0
+    if held:
+        yield total(held)
 
 
 def short_pairs(rows: DataFrame, few: int = FEW) -> DataFrame:
@@ -339,9 +364,9 @@ def cells(rows: DataFrame, component: str, id_: str, limit: int) -> DataFrame:
 
 
 def long_pairs(rows: DataFrame, limit: int = LIST) -> DataFrame:
-    """A row for each list and pair in it whose components differ, as far as the length and suffix filters let it.
+    """The pairs of each list whose components differ, as far as the length and suffix filters let them; c is in how many lists.
 
-    rows: (token, id, size, component, bits).
+    rows: (token, id, size, component, bits). A pair has a row for each task that finds it, not for each list.
     """
     dealt = cells(rows, "component", "id", limit)
 
@@ -360,7 +385,7 @@ def long_pairs(rows: DataFrame, limit: int = LIST) -> DataFrame:
                 ok = 7 * differ(words[i], words[j]) <= n[i] + n[j]
                 yield _pair_rows(id_, n, pos, i[ok], j[ok])
 
-    return dealt.mapInArrow(run, _PAIRS)
+    return dealt.mapInArrow(lambda batches: added_up(run(batches)), _PAIRS)
 
 
 def tables_of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,7 +516,7 @@ def join(docs: DataFrame, few: int = FEW, limit: int = LIST) -> DataFrame:
         placed = classes.join(member.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("component", "root").alias("component"))
     short = lists.join(tokens, "token", "left_anti")
     pairs = short_pairs(short.join(placed, "id"), few).union(long_pairs(long.join(placed, "id"), limit))
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("room").alias("room"), F.max("least").alias("least")).where("room >= 0 and c >= least")
+    counted = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("room").alias("room"), F.max("least").alias("least")).where("room >= 0 and c >= least")
     edges.append(verify(counted.select("a", "b"), known, classes))
     common.discard(lists, long)
     if edges[-1].limit(1).count():

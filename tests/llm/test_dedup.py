@@ -109,6 +109,17 @@ def test_pairs_of_a_list_meet_once(spark):
     assert sorted((r.a, r.b) for r in jaccard.short_pairs(df, n + 1).collect()) == want
 
 
+def test_rows_of_a_pair_are_added_up(spark):
+    """A pair that shares many lists has a row for each task at most; unlike sets of 400 do not come at all."""
+    rows = [(t, i, 100 << 32 | t, i, bytes(256)) for t in range(50) for i in range(3)]
+    got = jaccard.long_pairs(spark.createDataFrame(rows, "token long, id long, size long, component long, bits binary").coalesce(1)).collect()
+    assert len(got) <= 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) < 150
+    assert {(a, b): sum(r.c for r in got if (r.a, r.b) == (a, b)) for a, b in ((0, 1), (0, 2), (1, 2))} == {(0, 1): 50, (0, 2): 50, (1, 2): 50}
+    flat = np.random.default_rng(8).integers(0, 1 << 63, 470).astype(np.uint64)
+    bits = jaccard.parities(np.concatenate([flat[:400], flat[70:]]), np.repeat([0, 1], 400), 2)
+    assert 800 < 7 * jaccard.differ(bits[:1], bits[1:])[0] <= 7 * 140
+
+
 def test_bounds_of_linked_sets():
     """What the filters ask for holds for sets that just link, in any order of their shingles."""
     rng = np.random.default_rng(10)
