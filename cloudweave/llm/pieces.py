@@ -234,6 +234,13 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def rows_of(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each row, as views of the column's values; null rows have none."""
+    flat, offsets = column.values.to_numpy().astype("<i4", copy=False), column.offsets.to_pylist()
+    for i, j, null in zip(offsets, offsets[1:], column.is_null().to_pylist(), strict=False):
+        yield flat[i : i if null else j]
+
+
 def encode(docs: DataFrame, path: str = "") -> DataFrame:
     """doc_id, ids of each whole text. Null and empty texts have no ids; repeated rows have their own; a null id stays null."""
     path = path or default_path()
@@ -257,7 +264,7 @@ def decode(encoded: DataFrame, path: str = "") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            texts = [model.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            texts = [model.decode(ids.tolist()) for ids in rows_of(batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -276,11 +283,11 @@ def round_trip(docs: DataFrame, path: str = "") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for b in batches:
-            ids = b.column("ids").to_pylist()
+            ids = list(rows_of(b.column("ids")))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "n_pieces": pa.array([len(i) for i in ids], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids], pa.int64()),
-                "decoded_sha256": [hashlib.sha256(model.decode(i).encode()).hexdigest() for i in ids],
+                "ids_crc32": pa.array([zlib.crc32(i) for i in ids], pa.int64()),
+                "decoded_sha256": [hashlib.sha256(model.decode(i.tolist()).encode()).hexdigest() for i in ids],
             })
 
     return encode(docs, path).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")

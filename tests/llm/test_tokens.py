@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from cloudweave.llm import bins, packing, pieces, tokens
 
@@ -144,3 +145,11 @@ def test_pieces_of_odd_texts():
     for t, ids in zip(texts, own.encode(texts)):
         assert np.frombuffer(ids, "<i4").tolist() == library.encode(t)
         assert own.decode(library.encode(t)) == library.decode(library.encode(t))
+
+
+def test_rows_of_ids_are_views():
+    """Ids come as arrays, without a Python list, also from null, empty and sliced rows."""
+    column = pa.array([[1, 2], None, [], [3, 4, 5]], pa.list_(pa.int32()))
+    got = list(pieces.rows_of(column))
+    assert [r.tolist() for r in got] == [[1, 2], [], [], [3, 4, 5]] and all(r.dtype == "<i4" for r in got)
+    assert [r.tolist() for r in pieces.rows_of(column.slice(1, 3))] == [[], [], [3, 4, 5]]
