@@ -343,7 +343,12 @@ def short_pairs(rows: DataFrame, few: int = FEW) -> DataFrame:
 
 
 def cells(rows: DataFrame, component: str, id_: str, limit: int) -> DataFrame:
-    """rows of lists of several components with i, j, right and outside, dealt and sorted by cell (token, i, j).
+    """What dealt gives, by cell (token, i, j)."""
+    return dealt(rows, component, id_, limit).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
+def dealt(rows: DataFrame, component: str, id_: str, limit: int) -> DataFrame:
+    """rows of lists of several components with i, j, right and outside: a row for each cell (token, i, j).
 
     All rows of a list are dealt by one hash into parts of about limit, those outside its largest component by another,
     and each part of the former (not right) meets each of the latter (right). So a row of the largest component is
@@ -359,8 +364,8 @@ def cells(rows: DataFrame, component: str, id_: str, limit: int) -> DataFrame:
     mate = F.pmod(F.xxhash64(id_, F.lit(1)), others).cast("int")
     left = F.transform(F.sequence(F.lit(0), others - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(False).alias("right")))
     right = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("i"), mate.alias("j"), F.lit(True).alias("right")))
-    dealt = rows.withColumn("cell", F.explode(F.when(F.col("outside"), F.concat(left, right)).otherwise(left)))
-    return dealt.select("cell.i", "cell.j", "cell.right", "outside", *names).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    found = rows.withColumn("cell", F.explode(F.when(F.col("outside"), F.concat(left, right)).otherwise(left)))
+    return found.select("cell.i", "cell.j", "cell.right", "outside", *names)
 
 
 def long_pairs(rows: DataFrame, limit: int = LIST) -> DataFrame:

@@ -34,6 +34,8 @@ PART, SAMPLED, HOT = 1 << 14, 64, 1 << 14
 BRIDGE = 256
 #: Least run that a passage is grown from, pairs of equal shingles that a step holds.
 SEED, POINTS = 8, 1 << 16
+#: Windows that a task puts together at a time, equal codes of two places.
+HELD, SHARED = 1 << 15, 1 << 20
 #: Seeds up to this many are grown without a look at their neighbours first.
 FEW = 6
 
@@ -185,16 +187,17 @@ def _links(lists: DataFrame, near: int = NEAR) -> DataFrame:
     return dealt.select("token", "part", "group", "doc_id", "l", "c", "r").mapInArrow(run, "a long, b long, la int, ca int, ra int, lb int, cb int, rb int, token long")
 
 
-def meetings(doc: np.ndarray, token: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray, enough: int = ENOUGH) -> np.ndarray:
+def meetings(doc: np.ndarray, token: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray, enough: int = ENOUGH, last: np.ndarray | None = None) -> np.ndarray:
     """The sets of enough windows (by index, a row each) that hold one passage of LEAST shingles with the min-hash of each.
 
     Windows stand by doc, then by c. Those that do so two by two do so together. Two of one function never do.
+    last: windows stand for several of their token (see joined), with c to last; then no set is left out, some may hold no such passage.
     """
     far = np.cumsum(np.append(True, doc[1:] != doc[:-1])[: len(doc)]) << 33
-    left, c, right = left + far, c + far, right + far
+    left, c, last, right = left + far, c + far, (c if last is None else last) + far, right + far
 
     def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        apart = (left[y] > c[x]) | (c[y] > right[x]) | (left[x] > c[y]) | (c[x] > right[y]) | (token[x] == token[y])
+        apart = (left[y] > last[x]) | (c[y] > right[x]) | (left[x] > last[y]) | (c[x] > right[y]) | (token[x] == token[y])
         return ~apart & (np.minimum(right[x], right[y]) - np.maximum(left[x], left[y]) + 1 >= LEAST)
 
     def grow(sets: np.ndarray, low: np.ndarray, high: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -221,63 +224,200 @@ def meetings(doc: np.ndarray, token: np.ndarray, left: np.ndarray, c: np.ndarray
     return sets
 
 
+def joined(token: np.ndarray, doc: np.ndarray, left: np.ndarray, c: np.ndarray, last: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+    """The same columns, windows of one document and token that overlap as one, by document and c: a phrase that repeats makes many."""
+    by = np.lexsort((left, token, doc))
+    token, doc, left, c, last, right = (v[by] for v in (token, doc, left, c, last, right))
+    new = np.append(True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]))[: len(token)]
+    far = np.cumsum(new) << 33
+    begin = np.flatnonzero(np.append(True, (left + far)[1:] > np.maximum.accumulate(right + far)[:-1])[: len(token)])
+    if not len(begin):
+        return [token, doc, left, c, last, right]
+    out = [token[begin], doc[begin], left[begin], np.minimum.reduceat(c, begin), np.maximum.reduceat(last, begin), np.maximum.reduceat(right, begin)]
+    by = np.lexsort((out[3], out[1]))
+    return [v[by] for v in out]
+
+
 def _met(left: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """(token, doc_id, l, c, r): a row for each place of a document and enough min-hashes that meet there; token mixes these.
 
-    left: (token, doc_id, l, c, r). A task holds a batch and the windows of one document.
+    left: (token, doc_id, l, c, r). Places of one document and token that overlap are one. A task holds HELD windows, a batch and the windows of one document.
     """
     names = ["token", "doc_id", "l", "c", "r"]
 
     def sets(token: np.ndarray, doc: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-        fresh = np.append(True, np.logical_or.reduce([v[1:] != v[:-1] for v in (token, doc, left, c, right)]))
-        token, doc, left, c, right = (v[fresh] for v in (token, doc, left, c, right))
-        at = meetings(doc, token, left, c, right, enough)
+        token, doc, left, c, last, right = joined(token, doc, left, c, c, right)
+        at = meetings(doc, token, left, c, right, enough, last)
         mixed = np.sort(token[at].view(np.uint64), 1)
         key = np.zeros(len(at), np.uint64)
         for k in range(enough):
             key = common.mix(key * common._GOLD + mixed[:, k])
-        places = (left[at].max(1), c[at].min(1), right[at].min(1)) if len(at) else (np.zeros(0, np.int64),) * 3
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[at[:, 0]]), *(pa.array(v.astype(np.int32)) for v in places)], names=names)
+        places = (left[at].max(1), c[at].min(1), last[at].max(1), right[at].min(1)) if len(at) else (np.zeros(0, np.int64),) * 4
+        key, doc, left, c, _, right = joined(key.view(np.int64), doc[at[:, 0]], *places)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), *(pa.array(v.astype(np.int32)) for v in (left, c, right))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the last document's windows, which may go on
+        held: list[list[np.ndarray]] = []  # windows of whole documents, and the last one's, which may go on
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [v.to_numpy().astype(np.int64) for v in batch.columns]
-            if held:
-                columns = [np.concatenate(v) for v in zip(held, columns, strict=True)]
+            held.append([v.to_numpy().astype(np.int64) for v in batch.columns])
+            size += batch.num_rows
+            if size < HELD:
+                continue
+            columns = [np.concatenate(v) for v in zip(*held, strict=True)]
             done = int(np.searchsorted(columns[1], columns[1][-1]))
             if done:
                 yield sets(*(v[:done] for v in columns))
-            held = [v[done:] for v in columns]
+            held = [[v[done:] for v in columns]]
+            size = len(held[0][0])
         if held:
-            yield sets(*held)
+            yield sets(*(np.concatenate(v) for v in zip(*held, strict=True)))
 
-    dealt = left.select(*names).repartition("doc_id").sortWithinPartitions("doc_id", "c", "l", "r", "token")
+    dealt = left.select(*names).repartition("doc_id").sortWithinPartitions("doc_id")
     return dealt.mapInArrow(run, "token long, doc_id long, l int, c int, r int")
 
 
-def _all_links(rows: DataFrame, limit: int = CELL) -> DataFrame:
-    """(a, b, windows of either, token): every two rows of a list whose groups differ; a > b. rows: (token, group, doc_id, l, c, r)."""
+def fewest(x: np.ndarray, least: int = LEAST) -> int:
+    """Of all stretches of least elements of x, the least number of different ones."""
+    n = len(x) - least + 1
+    if n < 1:
+        return len(np.unique(x))
+    by = np.argsort(x, kind="stable")
+    same = np.flatnonzero(x[by][1:] == x[by][:-1])
+    place, before = by[same + 1], by[same]
+    # An element is one again in the stretches that hold the equal one before it too.
+    low, high = np.maximum(place - least + 1, 0), np.minimum(before, n - 1)
+    ok = high >= low
+    again = np.bincount(low[ok], minlength=n + 1) - np.bincount(high[ok] + 1, minlength=n + 1)
+    return least - int(np.cumsum(again)[:n].max())
+
+
+def sketch(h: np.ndarray) -> tuple[int, int, bytes]:
+    """need, lost, codes: what promising needs of a place with the shingles h (halves of hashes).
+
+    need: how many shingles a passage of it shares at least with a similar one. codes: 23 bits of each different one, in order,
+    and whether they come again; of those with equal bits the first. lost: how many others there are.
+    """
+    names, first, times = np.unique(h >> np.uint32(9), return_index=True, return_counts=True)
+    by = np.argsort(first)
+    codes = (names[by] << np.uint32(1) | (times[by] > 1)).astype("<u4")
+    need = -int(-100 * SIMILAR * fewest(h) // 100) if len(h) >= LEAST else 1 << 30
+    return need, len(np.unique(h)) - len(names), codes.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _codes(texts: list[pa.BinaryScalar]) -> tuple[np.ndarray, np.ndarray]:
+    """How many codes each has, and all, one after another."""
+    parts = [np.frombuffer(v.as_buffer(), np.uint8) for v in texts]
+    wide = np.zeros((sum(map(len, parts)) // 3, 4), np.uint8)
+    wide[:, :3] = np.concatenate(parts).reshape(-1, 3)
+    return np.array([len(v) // 3 for v in parts], np.int64), wide.view("<u4").ravel().astype(np.int64)
+
+
+def promising(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted pairs (a row for each place of x, a column for each of y) may hold similar passages: none that do are left out.
+
+    x, y: need, lost, the numbers of codes, and the codes one after another. Two passages that are similar share need shingles or more.
+    Where no shared code comes again and all stand in one order in both, such passages can begin and end with shared ones, and the others
+    between must be few enough.
+    """
+    (need_x, lost_x, len_x, codes_x), (need_y, lost_y, len_y, codes_y) = x, y
+    row_x, row_y = (np.repeat(np.arange(len(n)), n) for n in (len_x, len_y))
+    rank_x, rank_y = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) for n in (len_x, len_y))
+    by = np.argsort(codes_y >> 1, kind="stable")
+    ranked = codes_y[by] >> 1
+    begin = np.searchsorted(ranked, codes_x >> 1, "left")
+    counts = np.searchsorted(ranked, codes_x >> 1, "right") - begin
+    ends = np.cumsum(len_x)
+    upto = np.concatenate(([0], np.cumsum(counts)))
+    odds = int(SIMILAR / (1 - SIMILAR))
+    out = np.zeros(wanted.shape, bool)
+    at = 0
+    while at < len(len_x):
+        # Rows of x with about SHARED equal codes together, or one.
+        start = int(ends[at] - len_x[at])
+        end = max(at + 1, int(np.searchsorted(upto[ends], upto[start] + SHARED, "right")))
+        part = slice(start, int(ends[end - 1]))
+        e = np.repeat(np.arange(part.start, part.stop), counts[part])
+        f = by[np.arange(len(e)) + np.repeat(begin[part] - upto[part] + upto[start], counts[part])]
+        pair = (row_x[e] - at) * len(len_y) + row_y[f]
+        shared = np.bincount(pair, minlength=(end - at) * len(len_y)).reshape(end - at, -1)
+        need = np.maximum(need_x[at:end, None], need_y) - np.minimum(lost_x[at:end, None], lost_y)
+        ok = wanted[at:end] & (shared >= need)
+        keep = np.flatnonzero(ok.ravel()[pair])
+        if len(keep):
+            keep = keep[np.argsort(pair[keep], kind="stable")]
+            e, f, pair = e[keep], f[keep], pair[keep]
+            i, k = np.diff(rank_x[e], prepend=0), np.diff(rank_y[f], prepend=0)
+            new = np.append(True, pair[1:] != pair[:-1])
+            first, own = np.flatnonzero(new), np.cumsum(new) - 1
+            loose = np.logical_or.reduceat(((codes_x[e] | codes_y[f]) & 1 > 0) | (~new & (k < 0)), first)
+            # 1 for each shared code, odds less for each other: from any to the (need - 1)th after it or a later one the sum must not be below 0.
+            place = np.arange(len(pair)) - first[own]
+            total = place - odds * np.cumsum(np.where(new, 0, i + k - 2))
+            far = (total.max() - total.min() + 1) * own
+            least = np.minimum.accumulate(total - far) + far
+            back = np.maximum(need.ravel()[pair], 1) - 1
+            late = np.flatnonzero(place >= back)
+            fit = np.zeros(len(pair), bool)
+            fit[late] = total[late] - least[late - back[late]] + 1 >= 0
+            ok.ravel()[pair[first]] = np.logical_or.reduceat(fit, first) | loose
+        out[at:end] = ok
+        at = end
+    return out
+
+
+def _all_links(rows: DataFrame, docs: DataFrame, limit: int = CELL) -> DataFrame:
+    """(a, b, windows of either, token): every two rows of a list whose groups differ and that may hold similar passages; a > b.
+
+    rows: (token, group, doc_id, l, c, r). Each goes to its cells with a sketch of its shingles.
+    """
     names = ["a", "b", "la", "ca", "ra", "lb", "cb", "rb", "token"]
+    fields = ["token", "i", "j", "right", "outside", "group", "l", "c", "r"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    wanted = jaccard.dealt(rows, "group", "doc_id", limit).groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("cuts"))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch):
+                h, firsts = common.row_shingles(part.column("text"), WORDS)
+                h = (h >> np.uint64(32)).astype(np.uint32)
+                for k, doc in enumerate(part.column("doc_id").to_pylist()):
+                    own, cuts = h[firsts[k] : firsts[k + 1]], part.column("cuts")[k].values
+                    made: dict[tuple[int, int], tuple[int, int, bytes]] = {}
+                    for at in range(0, len(cuts), 2000):
+                        some = [cuts.field(v).slice(at, 2000) for v in fields]
+                        places = list(zip(some[6].to_pylist(), some[8].to_pylist(), strict=True))
+                        for low, high in places:
+                            if (low, high) not in made:
+                                made[low, high] = sketch(own[low : high + 1])
+                        rest = zip(*(made[p] for p in places), strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) if isinstance(v, (list, tuple)) else v.cast(t) for v, t in zip([*some, [doc] * len(places), *rest], kinds, strict=True)], names=[*fields, "doc_id", "need", "lost", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in jaccard.tables_of_cells(batches):
             right, outside = (table.column(v).to_numpy(zero_copy_only=False) for v in ("right", "outside"))
-            token, group, doc = (table.column(v).to_numpy() for v in ("token", "group", "doc_id"))
+            token, group, doc, need, lost = (table.column(v).to_numpy() for v in ("token", "group", "doc_id", "need", "lost"))
             place = [table.column(v).to_numpy() for v in ("l", "c", "r")]
+            texts = table.column("codes")
+            side = lambda at: (need[at], lost[at], *_codes([texts[k] for k in at.tolist()]))
             x, y = np.flatnonzero(~right), np.flatnonzero(right)
+            if not len(x) or not len(y):
+                continue
+            of_y = side(y)
             for at in range(0, len(x), 256):
                 p = x[at : at + 256]
                 # Two rows outside the largest group meet in two cells.
-                i, j = np.nonzero((group[p, None] != group[y]) & (~outside[p, None] | (doc[p, None] < doc[y])))
+                i, j = np.nonzero(promising(side(p), of_y, (group[p, None] != group[y]) & (~outside[p, None] | (doc[p, None] < doc[y]))))
                 i, j = p[i], y[j]
                 up = doc[i] > doc[j]
                 i, j = np.where(up, i, j), np.where(up, j, i)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[i], doc[j], *(v[i] for v in place), *(v[j] for v in place), token[i])], names=names)
 
-    return jaccard.cells(rows, "group", "doc_id", limit).mapInArrow(run, "a long, b long, la int, ca int, ra int, lb int, cb int, rb int, token long")
+    kind = "token long, i int, j int, right boolean, outside boolean, group long, l int, c int, r int, doc_id long, need int, lost int, codes binary"
+    cells = docs.join(wanted, "doc_id").select("doc_id", "text", "cuts").mapInArrow(sketched, kind).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return cells.mapInArrow(run, "a long, b long, la int, ca int, ra int, lb int, cb int, rb int, token long")
 
 
 def _places(links: DataFrame, enough: int = ENOUGH) -> DataFrame:
@@ -554,6 +694,14 @@ def _mixed(long: DataFrame) -> DataFrame:
     return long.join(lists, "token")
 
 
+def _copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id): documents whose text an earlier one of their group has too. One that has several rows stays."""
+    whole = docs.select("doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.reverse("text")).alias("y")).join(groups, "doc_id")
+    single = whole.groupBy("doc_id", "group").agg(F.count("*").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")).where("n = 1")
+    first = single.groupBy("group", "x", "y").agg(F.min("doc_id").alias("first"))
+    return single.join(first, ["group", "x", "y"]).where("doc_id <> first").select("doc_id")
+
+
 def near_passages(docs: DataFrame) -> DataFrame:
     """Near-duplicate passages of LEAST shingles (50 words) or more between documents, and whose they are.
 
@@ -572,9 +720,9 @@ def near_passages(docs: DataFrame) -> DataFrame:
     groups = _groups(tables[0])
     grouped = lambda lists: lists.join(groups, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
     more = met.where("b is null").select("token", F.col("a").alias("doc_id"), F.col("la").alias("l"), F.col("ca").alias("c"), F.col("ra").alias("r"))
-    left = common.materialize(_met(_mixed(grouped(more))))
+    left = common.materialize(_met(_mixed(grouped(more).join(_copies(table, groups), "doc_id", "left_anti"))))
     common.discard(met, places)
-    rest = common.materialize(_places(_all_links(grouped(left)), 1))
+    rest = common.materialize(_places(_all_links(grouped(left), table), 1))
     tables.append(common.materialize(_verify(rest, table)))
     common.discard(left, rest)
     found = reduce(DataFrame.union, tables)
