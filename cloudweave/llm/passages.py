@@ -5,7 +5,8 @@ shingles' hashes gives compact windows (l, c, r): every subsequence [i, j] with
 hash of c as its min-hash. Only windows that hold LEAST shingles are made, about two for LEAST shingles.
 Windows of one function and one min-hash meet in a list; each is linked with the list's first and with the NEAR
 before it, which joins copies to classes at little cost. Then nothing is left out: each document's places where windows of
-ENOUGH functions meet are listed by these min-hashes, and all places of a list that are of different classes are compared.
+ENOUGH functions meet are listed by these min-hashes, and all places of a list that are of different classes are compared,
+by sketches of their shingles first, which tell most pairs that hold no similar passage and leave none that do out.
 Where ENOUGH min-hashes join two documents at one place, the passage is verified: from its first shared shingle to its last
 it holds LEAST shingles or more and the two sets' Jaccard similarity is SIMILAR or more.
 """
@@ -279,32 +280,44 @@ def _met(left: DataFrame, enough: int = ENOUGH) -> DataFrame:
     return dealt.mapInArrow(run, "token long, doc_id long, l int, c int, r int")
 
 
-def fewest(x: np.ndarray, least: int = LEAST) -> int:
-    """Of all stretches of least elements of x, the least number of different ones."""
-    n = len(x) - least + 1
-    if n < 1:
-        return len(np.unique(x))
+def _neighbours(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each element the place of the equal one before it (or -1) and after it (or len(x))."""
     by = np.argsort(x, kind="stable")
     same = np.flatnonzero(x[by][1:] == x[by][:-1])
-    place, before = by[same + 1], by[same]
+    before, after = np.full(len(x), -1), np.full(len(x), len(x))
+    before[by[same + 1]] = by[same]
+    after[by[same]] = by[same + 1]
+    return before, after
+
+
+def different(before: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """How many different elements each stretch of least has, given the places of the equal ones before."""
+    n = len(before) - least + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
     # An element is one again in the stretches that hold the equal one before it too.
-    low, high = np.maximum(place - least + 1, 0), np.minimum(before, n - 1)
+    low, high = np.maximum(np.arange(len(before)) - least + 1, 0), np.minimum(before, n - 1)
     ok = high >= low
     again = np.bincount(low[ok], minlength=n + 1) - np.bincount(high[ok] + 1, minlength=n + 1)
-    return least - int(np.cumsum(again)[:n].max())
+    return least - np.cumsum(again)[:n]
 
 
-def sketch(h: np.ndarray) -> tuple[int, int, bytes]:
-    """need, lost, codes: what promising needs of a place with the shingles h (halves of hashes).
+def sketches(h: np.ndarray, places: list[tuple[int, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """need, lost, codes: what promising needs of each place (first, last) of a document with the shingles h (halves of hashes).
 
     need: how many shingles a passage of it shares at least with a similar one. codes: 23 bits of each different one, in order,
     and whether they come again; of those with equal bits the first. lost: how many others there are.
     """
-    names, first, times = np.unique(h >> np.uint32(9), return_index=True, return_counts=True)
-    by = np.argsort(first)
-    codes = (names[by] << np.uint32(1) | (times[by] > 1)).astype("<u4")
-    need = -int(-100 * SIMILAR * fewest(h) // 100) if len(h) >= LEAST else 1 << 30
-    return need, len(np.unique(h)) - len(names), codes.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    code = h >> np.uint32(9)
+    (before, _), (earlier, later) = _neighbours(h), _neighbours(code)
+    counts, code = different(before), (code << np.uint32(1)).astype("<u4")
+    for low, high in places:
+        own = slice(low, high + 1)
+        first = earlier[own] < low
+        codes = (code[own] | (later[own] <= high))[first]
+        stretches = counts[low : max(low, high + 2 - LEAST)]
+        need = -int(-100 * SIMILAR * int(stretches.min()) // 100) if len(stretches) else 1 << 30
+        yield need, int(np.count_nonzero(before[own] < low)) - len(codes), codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
 def _codes(texts: list[pa.BinaryScalar]) -> tuple[np.ndarray, np.ndarray]:
@@ -385,23 +398,36 @@ def _all_links(rows: DataFrame, docs: DataFrame, limit: int = CELL) -> DataFrame
                 h = (h >> np.uint64(32)).astype(np.uint32)
                 for k, doc in enumerate(part.column("doc_id").to_pylist()):
                     own, cuts = h[firsts[k] : firsts[k + 1]], part.column("cuts")[k].values
-                    made: dict[tuple[int, int], tuple[int, int, bytes]] = {}
+                    every = sorted(set(zip(cuts.field("l").to_pylist(), cuts.field("r").to_pylist(), strict=True)))
+                    made = dict(zip(every, sketches(own, every), strict=True))
                     for at in range(0, len(cuts), 2000):
                         some = [cuts.field(v).slice(at, 2000) for v in fields]
                         places = list(zip(some[6].to_pylist(), some[8].to_pylist(), strict=True))
-                        for low, high in places:
-                            if (low, high) not in made:
-                                made[low, high] = sketch(own[low : high + 1])
                         rest = zip(*(made[p] for p in places), strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) if isinstance(v, (list, tuple)) else v.cast(t) for v, t in zip([*some, [doc] * len(places), *rest], kinds, strict=True)], names=[*fields, "doc_id", "need", "lost", "codes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Cells of 256 rows together or more, and the number of each row's."""
+        held: list[pa.RecordBatch] = []
         for table in jaccard.tables_of_cells(batches):
+            held.append(table)
+            if sum(t.num_rows for t in held) >= 256:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], np.repeat(np.arange(len(held)), [t.num_rows for t in held])
+                held = []
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], np.repeat(np.arange(len(held)), [t.num_rows for t in held])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cell in several(batches):
             right, outside = (table.column(v).to_numpy(zero_copy_only=False) for v in ("right", "outside"))
             token, group, doc, need, lost = (table.column(v).to_numpy() for v in ("token", "group", "doc_id", "need", "lost"))
             place = [table.column(v).to_numpy() for v in ("l", "c", "r")]
             texts = table.column("codes")
-            side = lambda at: (need[at], lost[at], *_codes([texts[k] for k in at.tolist()]))
+
+            def side(at: np.ndarray) -> tuple[np.ndarray, ...]:
+                counts, codes = _codes([texts[k] for k in at.tolist()])
+                return need[at], lost[at], counts, codes + (np.repeat(cell[at], counts) << 24)
+
             x, y = np.flatnonzero(~right), np.flatnonzero(right)
             if not len(x) or not len(y):
                 continue
@@ -409,7 +435,7 @@ def _all_links(rows: DataFrame, docs: DataFrame, limit: int = CELL) -> DataFrame
             for at in range(0, len(x), 256):
                 p = x[at : at + 256]
                 # Two rows outside the largest group meet in two cells.
-                i, j = np.nonzero(promising(side(p), of_y, (group[p, None] != group[y]) & (~outside[p, None] | (doc[p, None] < doc[y]))))
+                i, j = np.nonzero(promising(side(p), of_y, (cell[p, None] == cell[y]) & (group[p, None] != group[y]) & (~outside[p, None] | (doc[p, None] < doc[y]))))
                 i, j = p[i], y[j]
                 up = doc[i] > doc[j]
                 i, j = np.where(up, i, j), np.where(up, j, i)
@@ -691,7 +717,7 @@ def _groups(found: DataFrame) -> DataFrame:
 def _mixed(long: DataFrame) -> DataFrame:
     """The windows of lists whose documents are in several groups."""
     lists = long.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-    return long.join(lists, "token")
+    return long.join(common.materialize(lists), "token")
 
 
 def _copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -709,7 +735,7 @@ def near_passages(docs: DataFrame) -> DataFrame:
     similarity, class_id (the smallest doc_id that passages reach: the membership of both documents).
     Copies are linked with one of theirs that came first and with their neighbour, not all with all; their class joins them.
     Then all windows of lists that hold several classes are compared across these: any two places of different classes
-    that ENOUGH min-hashes share are verified. Words are lower-cased (A-Z). Null, empty and short texts have no passages; a null doc_id takes no part;
+    that ENOUGH min-hashes share are verified, unless their sketches show that nothing in them is similar. Words are lower-cased (A-Z). Null, empty and short texts have no passages; a null doc_id takes no part;
     rows that repeat a doc_id are one document for linking, and their passages are verified against either
     text. An empty table gives no rows. Other columns play no part.
     """
@@ -720,7 +746,8 @@ def near_passages(docs: DataFrame) -> DataFrame:
     groups = _groups(tables[0])
     grouped = lambda lists: lists.join(groups, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
     more = met.where("b is null").select("token", F.col("a").alias("doc_id"), F.col("la").alias("l"), F.col("ca").alias("c"), F.col("ra").alias("r"))
-    left = common.materialize(_met(_mixed(grouped(more).join(_copies(table, groups), "doc_id", "left_anti"))))
+    copies = common.materialize(_copies(table, groups))
+    left = common.materialize(_met(_mixed(grouped(more).join(copies, "doc_id", "left_anti"))))
     common.discard(met, places)
     rest = common.materialize(_places(_all_links(grouped(left), table), 1))
     tables.append(common.materialize(_verify(rest, table)))

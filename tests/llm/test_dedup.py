@@ -329,7 +329,7 @@ def test_no_similar_passages_are_told_apart(monkeypatch):
             if rng.random() < 0.2:
                 text = np.concatenate([text[len(text) // 2 :], text[: len(text) // 2]])
             texts.append(np.concatenate([words(int(rng.integers(0, 60))), text, words(int(rng.integers(0, 60)))]))
-        rows = [passages.sketch(t) for t in texts]
+        rows = [next(passages.sketches(np.concatenate([t, t]), [(0, len(t) - 1)])) for t in texts]
         side = lambda s: (np.array([v[0] for v in s]), np.array([v[1] for v in s]), *passages._codes([pa.scalar(v[2]) for v in s]))
         monkeypatch.setattr(passages, "SHARED", 1 << 20 if trial % 2 else 500)
         wanted = rng.random((4, 4)) < 0.9
@@ -342,12 +342,12 @@ def test_no_similar_passages_are_told_apart(monkeypatch):
     assert found > 300 and left_out > 300, (found, left_out)
 
 
-def test_fewest_different_of_a_stretch():
+def test_different_elements_of_stretches():
     rng = np.random.default_rng(6)
     for _ in range(100):
         x = rng.integers(0, int(rng.choice([3, 20, 1000])), int(rng.integers(0, 90))).astype(np.uint32)
         for least in (5, 46):
-            assert passages.fewest(x, least) == min((len(set(x[i : i + least].tolist())) for i in range(len(x) - least + 1)), default=len(set(x.tolist())))
+            assert passages.different(passages._neighbours(x)[0], least).tolist() == [len(set(x[i : i + least].tolist())) for i in range(len(x) - least + 1)]
 
 
 def test_joined_windows_leave_no_meeting_out():
