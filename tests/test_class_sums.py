@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudweave.functions import kernels
-from cloudweave.operators import barcodes, embedding
+from cloudweave.operators import barcodes, embedding, farthest
 from cloudweave.plans import class_features
 
 
@@ -79,3 +79,18 @@ def test_fitting_keeps_differences_only(spark, tmp_path):
     size = spark.read.parquet(f"{tmp_path}/subclouds").agg(F.min(F.size("points"))).head()[0]
     assert size > 5 * points and table.count() == 60
     assert table.agg(F.avg(F.size("life") + F.size("gone"))).head()[0] < 0.7 * size
+
+
+def test_rounds_begin_where_the_class_does(spark, monkeypatch):
+    """In rounds too an order without a series begins with the class's own, up to the series' first point."""
+    rng = np.random.default_rng(5)
+    pool = spark.createDataFrame([(0, i // 4, i % 4, rng.normal(size=3).tolist()) for i in range(160)], "label int, series_id long, point_idx int, coords array<double>")
+    begun, rounds = {}, farthest._round
+    monkeypatch.setattr(farthest, "_round", lambda pool, groups, top: ([begun.setdefault(g.without, len(g.keys)) for g in groups], rounds(pool, groups, top)))
+    got = farthest.farthest_subclouds(pool, spark.createDataFrame([(0, 12)], "label int, size int"), 0, 0, 8).collect()
+    whole = next(r.points for r in got if r.exclude_series is None)
+    places = {tuple(r.coords): r.series_id for r in pool.collect()}
+    first = {}
+    for k, p in enumerate(whole):
+        first.setdefault(places[tuple(p)], k)
+    assert {s: max(k, 1) for s, k in first.items()} == {s: n for s, n in begun.items() if s is not None}
