@@ -94,3 +94,22 @@ def test_rounds_begin_where_the_class_does(spark, monkeypatch):
     for k, p in enumerate(whole):
         first.setdefault(places[tuple(p)], k)
     assert {s: max(k, 1) for s, k in first.items()} == {s: n for s, n in begun.items() if s is not None}
+
+
+def test_unseen_series_are_compared_once(spark, tmp_path):
+    """With a folder for their scores unseen series are embedded and compared once, not for each part of the tails; the features are the same."""
+    values = F.array(*(F.sin(F.col("series_id") * 1.7 + k * (1 + F.col("label"))) for k in range(24)))
+    rows = spark.range(40).select(F.col("id").alias("series_id"), (F.col("id") % 2).cast("int").alias("label")).withColumn("values", values)
+    config = class_features.Config(tau=2, m=3, stride=2, reps=("mtd",))
+    model, _ = class_features.fit(rows.where("series_id < 30"), config, str(tmp_path / "fit"))
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    unseen = rows.where("series_id >= 30")
+    plain = {(r.series_id, r.feature): r.value for r in class_features.transform(unseen, model).collect()}
+    got = {(r.series_id, r.feature): r.value for r in class_features.transform(unseen.mapInPandas(counted, unseen.schema), model, work=str(tmp_path)).collect()}
+    assert made.value == 10 and got == plain and len(got) == 10 * len(model.names)
